@@ -33,28 +33,40 @@ def day(time: Column) -> Column:
     return F.date_trunc("day", time)
 
 
-def prior_activity(touched: DataFrame) -> DataFrame:
-    """Add prior_count, last_time and last_report (the smallest id at that time) to touches."""
-    per_time = touched.groupBy("file", "report_time").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("report_id").alias("_id")
+def _axis(touched: DataFrame, asked: DataFrame | None) -> DataFrame:
+    """Touches with weight 1 and questions with weight 0 on one time axis."""
+    columns = ["report_id", "file", "report_time"]
+    real = touched.select(*columns, F.lit(1).alias("weight"))
+    return real if asked is None else real.unionByName(asked.select(*columns, F.lit(0).alias("weight")))
+
+
+def prior_activity(touched: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Add prior_count, last_time and last_report (the smallest id at that time) to touches.
+
+    `asked` may hold other rows (report_id, file, report_time) to answer instead; they see the
+    touches before them but are seen by none.
+    """
+    time = F.col("report_time")
+    per_time = _axis(touched, asked).groupBy("file", "report_time").agg(
+        F.sum("weight").alias("_n"), F.min(F.when(F.col("weight") == 1, F.col("report_id"))).alias("_id")
     )
     before = running(
         per_time,
         ["file"],
-        [F.col("report_time")],
-        day(F.col("report_time")),
+        [time],
+        day(time),
         sums={"prior_count": F.col("_n")},
-        maxima={"_last": F.struct(F.col("report_time").alias("t"), F.col("_id").alias("id"))},
+        maxima={"_last": F.when(F.col("_n") > 0, F.struct(time.alias("t"), F.col("_id").alias("id")))},
         inclusive=False,
     ).select(
         "file", "report_time", "prior_count", F.col("_last.t").alias("last_time"), F.col("_last.id").alias("last_report")
     )
-    return touched.join(before, ["file", "report_time"])
+    return (touched if asked is None else asked).join(before, ["file", "report_time"])
 
 
-def recency_and_frequency(touched: DataFrame) -> DataFrame:
-    """bug_recency and bug_frequency of every touch."""
-    active = prior_activity(touched)
+def recency_and_frequency(touched: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """bug_recency and bug_frequency of every touch, or of every row asked for."""
+    active = prior_activity(touched, asked)
     return active.select(
         "report_id",
         "file",
@@ -63,39 +75,40 @@ def recency_and_frequency(touched: DataFrame) -> DataFrame:
     )
 
 
-def collaborative_similarity(touched: DataFrame, report_tf: DataFrame) -> DataFrame:
+def collaborative_similarity(
+    touched: DataFrame, report_tf: DataFrame, asked: DataFrame | None = None
+) -> DataFrame:
     """Similarity of a report to the joined texts of the earlier reports of a file (collab_filter).
 
     The vector of the joined texts is the running sum of term vectors per (file, term). Its
     squared length is a running sum as well: adding x to a count s adds 2 s x + x * x.
     """
-    opened = skew_join(touched, report_tf, ["report_id"], hot_keys(touched, ["report_id"]))
-    per_time = opened.groupBy("file", "term", "report_time").agg(F.sum("tf").cast("double").alias("x"))
-    time = F.col("report_time")
-    summed = running(
-        per_time, ["file", "term"], [time], day(time), sums={"s": F.col("x")}, inclusive=False
-    )
-    growth = summed.groupBy("file", "report_time").agg(
-        F.sum(2 * F.col("s") * F.col("x") + F.col("x") * F.col("x")).alias("_growth")
+    rows = _axis(touched, asked)
+    opened = skew_join(rows, report_tf, ["report_id"], hot_keys(rows, ["report_id"]))
+    per_time = opened.groupBy("file", "term", "report_time").agg(
+        F.sum(F.col("tf") * F.col("weight")).cast("double").alias("x")
     )
-    prior_length = running(
-        growth, ["file"], [time], day(time), sums={"_ra": F.col("_growth")}, inclusive=False
-    ).select("file", "report_time", "_ra")
-
-    tf = F.col("tf").cast("double")
-    known = F.col("s") > 0
-    per_touch = (
-        opened.join(summed.select("file", "term", "report_time", "s"), ["file", "term", "report_time"])
+    time, s, x = F.col("report_time"), F.col("s"), F.col("x")
+    summed = running(per_time, ["file", "term"], [time], day(time), sums={"s": x}, inclusive=False)
+    growth = summed.groupBy("file", "report_time").agg(F.sum(2 * s * x + x * x).alias("_growth"))
+    lengths = running(
+        growth, ["file"], [time], day(time), sums={"_all": F.col("_growth")}, inclusive=False
+    ).select("file", "report_time", F.col("_all").alias("_ra"))
+
+    tf, known = F.col("tf").cast("double"), s > 0
+    wanted = opened.where(F.col("weight") == (1 if asked is None else 0))
+    sums = (
+        wanted.join(summed.select("file", "term", "report_time", "s"), ["file", "term", "report_time"])
         .groupBy("report_id", "file", "report_time")
         .agg(
-            F.sum(tf * F.col("s")).alias("_dot"),
+            F.sum(tf * s).alias("_dot"),
             F.sum(F.when(known, tf * tf).otherwise(0.0)).alias("_ls"),
             F.sum(tf * tf).alias("_la"),
-            F.sum(F.when(known, F.col("s") * F.col("s")).otherwise(0.0)).alias("_rs"),
+            F.sum(F.when(known, s * s).otherwise(0.0)).alias("_rs"),
         )
-        .join(prior_length, ["file", "report_time"])
+        .join(lengths, ["file", "report_time"])
     )
-    similarity = measures.pair_cosine(*[F.col(c) for c in ("_dot", "_ls", "_la", "_rs", "_ra")])
-    return touched.join(
-        per_touch.select("report_id", "file", similarity.alias("collab_filter")), ["report_id", "file"], "left"
-    ).withColumn("collab_filter", F.coalesce("collab_filter", F.lit(0.0)))
+    value = measures.pair_cosine(*[F.col(c) for c in ("_dot", "_ls", "_la", "_rs", "_ra")])
+    similar = sums.select("report_id", "file", value.alias("collab_filter"))
+    answered = (touched if asked is None else asked).join(similar, ["report_id", "file"], "left")
+    return answered.withColumn("collab_filter", F.coalesce("collab_filter", F.lit(0.0)))
