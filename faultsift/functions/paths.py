@@ -23,7 +23,7 @@ def normalized_path(path: Column, max_parent_steps: int = MAX_PARENT_STEPS) -> C
 def file_list(text: Column) -> Column:
     """Normalised paths of a white-space separated list; an empty text has none."""
     parts = F.filter(F.split(F.trim(text), r"\s+"), lambda p: p != "")
-    return F.transform(parts, normalized_path)
+    return F.transform(parts, lambda p: normalized_path(p))
 
 
 def file_stem(file: Column) -> Column:

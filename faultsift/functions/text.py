@@ -22,7 +22,7 @@ UPPER_WORD = "([A-Z])([A-Z][a-z])"
 LETTERS = "[A-Za-z]+"
 LONG_LETTERS = "[A-Za-z]{2,}"
 COMMENT_OR_LITERAL = (
-    r"""("(?:\\.|[^\\"])*"|'(?:\\.|[^\\'])*')|//[^\n]*|(?s:/\*.*?\*/)"""
+    r"""(?s)("[^\\"]*(?:\\.[^\\"]*)*"|'[^\\']*(?:\\.[^\\']*)*')|//[^\n]*|/\*.*?\*/"""
 )
 PACKAGE_OR_IMPORT = r"(^|\n)[ \t]*(package|import)[ \t][^\n]*"
 TYPE_NAME = r"\b(?:class|interface|enum)\s+([A-Za-z_]\w*)"
