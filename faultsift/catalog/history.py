@@ -22,7 +22,8 @@ GROUP BY t.report_id, t.file"""
 )
 def prior_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of strictly earlier reports of the same file, and the latest of them."""
-    return history.prior_activity(data.touches(spark, sf_dir)).select(
+    touched = data.touches(spark, sf_dir)
+    return history.with_last_report(history.prior_activity(touched), touched).select(
         "report_id", "file", "prior_count", F.date_format("last_time", "yyyy-MM-dd").alias("last_day"), "last_report"
     )
 

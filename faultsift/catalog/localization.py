@@ -55,8 +55,8 @@ def length_scores_by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH r AS (SELECT user_id, min(value) AS lo, max(value) AS hi, min(1.0) AS one FROM events GROUP BY 1)
-SELECT event_id, round(CASE WHEN hi <> lo THEN (value - lo) / (hi - lo) ELSE value END, 6) AS scaled, 3.0 AS kept, 1.0 AS ones
+WITH r AS (SELECT user_id, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1)
+SELECT event_id, round(CASE WHEN hi <> lo THEN (value - lo) / (hi - lo) ELSE value END, 6) AS scaled, 3.0::DOUBLE AS kept, 1.0::DOUBLE AS ones
 FROM events JOIN r USING (user_id)"""
 )
 def min_max_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,14 +105,13 @@ direct AS (SELECT f.item_id, f.doc_id, similarity, similarity * length_score AS
 )
 def direct_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused TF-IDF and dense similarity times the length score."""
-    from faultsift.operators.terms import idf_table
-
-    doc_tf = data.doc_tf(spark, sf_dir)
+    item_weights, doc_weights = localization.weighted(
+        data.item_tf(spark, sf_dir), data.doc_tf(spark, sf_dir), data.table(spark, sf_dir, "documents")
+    )
     fused = localization.similarities(
         data.pool(spark, sf_dir).select("item_id", "doc_id"),
-        data.item_tf(spark, sf_dir),
-        doc_tf,
-        idf_table(doc_tf, data.table(spark, sf_dir, "documents")),
+        item_weights,
+        doc_weights,
         _vectors_of(spark, sf_dir, "benchmark", "item_id"),
         _vectors_of(spark, sf_dir, "documents", "doc_id"),
         ["item_id"],

@@ -103,8 +103,6 @@ def entries_from_links(linked: DataFrame) -> DataFrame:
 
 def node_ids(numbered_nodes: DataFrame, vocabulary: DataFrame, unknown: int) -> DataFrame:
     """Node tokens as vocabulary ids, `unknown` for other tokens."""
-    from faultsift.operators.skew import hot_keys, skew_join
-
     terms = vocabulary.select(F.col("term").alias("token"), F.col("id").alias("token_id"))
-    joined = skew_join(numbered_nodes, terms, ["token"], hot_keys(numbered_nodes, ["token"]), "left")
+    joined = numbered_nodes.join(terms, "token", "left")
     return joined.withColumn("token_id", F.coalesce("token_id", F.lit(unknown)))

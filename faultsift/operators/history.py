@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from faultsift.functions import measures
 from faultsift.operators.running import running
 from faultsift.operators.skew import hot_keys, skew_join
+from faultsift.session import stage
 
 
 def touches(reports: DataFrame) -> DataFrame:
@@ -28,9 +29,9 @@ def previous_reports(reports: DataFrame, file: str, until: Column) -> DataFrame:
     return reports.where(F.array_contains("files", file) & (F.col("report_time") < until))
 
 
-def day(time: Column) -> Column:
-    """Bucket of a time: times have whole seconds, so a day holds 86,400 distinct ones at most."""
-    return F.date_trunc("day", time)
+def year(time: Column) -> Column:
+    """Bucket of a time: report times have whole seconds, so a year holds 32 million at most."""
+    return F.date_trunc("year", time)
 
 
 def _axis(touched: DataFrame, asked: DataFrame | None) -> DataFrame:
@@ -41,29 +42,33 @@ def _axis(touched: DataFrame, asked: DataFrame | None) -> DataFrame:
 
 
 def prior_activity(touched: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """Add prior_count, last_time and last_report (the smallest id at that time) to touches.
+    """Add prior_count and last_time to touches.
 
     `asked` may hold other rows (report_id, file, report_time) to answer instead; they see the
     touches before them but are seen by none.
     """
     time = F.col("report_time")
-    per_time = _axis(touched, asked).groupBy("file", "report_time").agg(
-        F.sum("weight").alias("_n"), F.min(F.when(F.col("weight") == 1, F.col("report_id"))).alias("_id")
-    )
+    per_time = _axis(touched, asked).groupBy("file", "report_time").agg(F.sum("weight").alias("_n"))
     before = running(
         per_time,
         ["file"],
         [time],
-        day(time),
+        year(time),
         sums={"prior_count": F.col("_n")},
-        maxima={"_last": F.when(F.col("_n") > 0, F.struct(time.alias("t"), F.col("_id").alias("id")))},
+        maxima={"last_time": F.when(F.col("_n") > 0, time)},
         inclusive=False,
-    ).select(
-        "file", "report_time", "prior_count", F.col("_last.t").alias("last_time"), F.col("_last.id").alias("last_report")
-    )
+    ).drop("_n")
     return (touched if asked is None else asked).join(before, ["file", "report_time"])
 
 
+def with_last_report(active: DataFrame, touched: DataFrame) -> DataFrame:
+    """Add last_report, the latest earlier report of the file (the smallest id at that time)."""
+    at_time = touched.groupBy("file", F.col("report_time").alias("last_time")).agg(
+        F.min("report_id").alias("last_report")
+    )
+    return active.join(at_time, ["file", "last_time"], "left")
+
+
 def recency_and_frequency(touched: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """bug_recency and bug_frequency of every touch, or of every row asked for."""
     active = prior_activity(touched, asked)
@@ -85,30 +90,28 @@ def collaborative_similarity(
     """
     rows = _axis(touched, asked)
     opened = skew_join(rows, report_tf, ["report_id"], hot_keys(rows, ["report_id"]))
-    per_time = opened.groupBy("file", "term", "report_time").agg(
-        F.sum(F.col("tf") * F.col("weight")).cast("double").alias("x")
-    )
-    time, s, x = F.col("report_time"), F.col("s"), F.col("x")
-    summed = running(per_time, ["file", "term"], [time], day(time), sums={"s": x}, inclusive=False)
-    growth = summed.groupBy("file", "report_time").agg(F.sum(2 * s * x + x * x).alias("_growth"))
-    lengths = running(
-        growth, ["file"], [time], day(time), sums={"_all": F.col("_growth")}, inclusive=False
-    ).select("file", "report_time", F.col("_all").alias("_ra"))
-
-    tf, known = F.col("tf").cast("double"), s > 0
-    wanted = opened.where(F.col("weight") == (1 if asked is None else 0))
-    sums = (
-        wanted.join(summed.select("file", "term", "report_time", "s"), ["file", "term", "report_time"])
-        .groupBy("report_id", "file", "report_time")
+    time, s, x, tf = F.col("report_time"), F.col("s"), F.col("x"), F.col("tf").cast("double")
+    per_time = opened.groupBy("file", "term", "report_time").agg(F.sum(tf * F.col("weight")).alias("x"))
+    summed = running(per_time, ["file", "term"], [time], year(time), sums={"s": x}, inclusive=False)
+    known = s > 0
+    # Reports of one moment share x, so the growth of the length adds up over their rows.
+    sums = stage(
+        opened.join(summed, ["file", "term", "report_time"])
+        .groupBy("report_id", "file", "report_time", "weight")
         .agg(
             F.sum(tf * s).alias("_dot"),
             F.sum(F.when(known, tf * tf).otherwise(0.0)).alias("_ls"),
             F.sum(tf * tf).alias("_la"),
             F.sum(F.when(known, s * s).otherwise(0.0)).alias("_rs"),
+            F.sum(tf * F.col("weight") * (2 * s + x)).alias("_g"),
         )
-        .join(lengths, ["file", "report_time"])
+    )
+    growth = sums.groupBy("file", "report_time").agg(F.sum("_g").alias("_growth"))
+    lengths = running(growth, ["file"], [time], year(time), sums={"_ra": F.col("_growth")}, inclusive=False)
+    answers = sums.where(F.col("weight") == (1 if asked is None else 0)).join(
+        lengths.drop("_growth"), ["file", "report_time"]
     )
     value = measures.pair_cosine(*[F.col(c) for c in ("_dot", "_ls", "_la", "_rs", "_ra")])
-    similar = sums.select("report_id", "file", value.alias("collab_filter"))
+    similar = answers.select("report_id", "file", value.alias("collab_filter"))
     answered = (touched if asked is None else asked).join(similar, ["report_id", "file"], "left")
     return answered.withColumn("collab_filter", F.coalesce("collab_filter", F.lit(0.0)))

@@ -83,7 +83,7 @@ def positive_ranks(scored: DataFrame, query: list[str], candidate: str) -> DataF
     ).select(*query, "score", "_ahead")
     positives = scored.where(F.col("match") == 1).select(*query, candidate, "score")
     keys = [*query, "score"]
-    joined = skew_join(positives, ahead, keys, hot_keys(positives, keys))
+    joined = positives.join(ahead, keys)
     return joined.select(*query, candidate, (F.col("_ahead") + 1).alias("rank"))
 
 

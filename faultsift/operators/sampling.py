@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultsift.operators.running import hash_block, numbered, running
-from faultsift.operators.skew import hot_keys, skew_join
 from faultsift.operators.tables import keep
 
 HASH_DIGITS = 13
@@ -52,8 +51,7 @@ def sampled_wrong_files(positives: DataFrame, files: DataFrame, n: int, seed: st
     fixed = positives.select("report_id", F.col("file").alias("candidate"))
     start = F.pmod(hash_number(shuffle_key(seed, F.col("report_id"), F.col("file"))), total)
     per_report = positives.groupBy("report_id").agg(F.count(F.lit(1)).alias("_fixed"))
-    starts = positives.withColumn("_start", start)
-    starts = skew_join(starts, per_report, ["report_id"], hot_keys(starts, ["report_id"]))
+    starts = positives.withColumn("_start", start).join(per_report, "report_id")
 
     def walk(rows: DataFrame, length: Column) -> DataFrame:
         steps = F.explode(F.sequence(F.lit(0), F.least(length, total) - 1)).alias("_step")
@@ -167,7 +165,7 @@ def report_folds(samples: DataFrame, report: str, order: Column, bucket: Column,
     """Add `fold`, all samples of a report in one fold, so that no report is on both sides."""
     reports = samples.select(report).distinct()
     by_report = folds(reports, [order], bucket, k)
-    return skew_join(samples, by_report, [report], hot_keys(samples, [report]))
+    return samples.join(by_report, report)
 
 
 def every_nth(rows: DataFrame, order: list[Column], bucket: Column, n: int = 51) -> DataFrame:

@@ -13,7 +13,7 @@ def length_scores(sources: DataFrame, by: list[str] | None = None, size: str = "
     """Add length_score from the mean and sample deviation of `size`, per group `by` or overall."""
     if by:
         stats = sources.groupBy(*by).agg(F.avg(size).alias("_mean"), F.stddev_samp(size).alias("_sd"))
-        joined = skew_join(sources, stats, by, hot_keys(sources, by))
+        joined = sources.join(stats, by)
         score = measures.length_score(F.col(size), F.col("_mean"), F.col("_sd"))
         return joined.withColumn("length_score", score).drop("_mean", "_sd")
     mean = sources.agg(F.avg(size)).scalar()
@@ -26,7 +26,7 @@ def min_max(scored: DataFrame, keys: list[str], columns: list[str], constant: fl
     ranges = scored.groupBy(*keys).agg(
         *[F.min(c).alias(f"_low_{c}") for c in columns], *[F.max(c).alias(f"_high_{c}") for c in columns]
     )
-    joined = skew_join(scored, ranges, keys, hot_keys(scored, keys))
+    joined = scored.join(ranges, keys)
     filler = None if constant is None else F.lit(constant)
     return joined.select(
         *[
@@ -50,15 +50,14 @@ def dense_cosine(
     """Cosine of dense vectors for every pair of the pool."""
     l_vec = left.select(*left_keys, F.col(vector).alias("_lv"), arrays.norm(F.col(vector)).alias("_ln"))
     r_vec = right.select(*right_keys, F.col(vector).alias("_rv"), arrays.norm(F.col(vector)).alias("_rn"))
-    joined = skew_join(pairs, l_vec, left_keys, hot_keys(pairs, left_keys))
-    joined = skew_join(joined, r_vec, right_keys, hot_keys(pairs, right_keys))
+    joined = pairs.join(l_vec, left_keys).join(r_vec, right_keys)
     cosine = F.try_divide(arrays.dot(F.col("_lv"), F.col("_rv")), F.col("_ln") * F.col("_rn"))
     return joined.withColumn(name, cosine).drop("_lv", "_ln", "_rv", "_rn")
 
 
 def direct_scores(scored: DataFrame, lengths: DataFrame, keys: list[str], similarity: str = "similarity") -> DataFrame:
     """Similarity times the length score of the file."""
-    joined = skew_join(scored, lengths.select(*keys, "length_score"), keys, hot_keys(scored, keys))
+    joined = scored.join(lengths.select(*keys, "length_score"), keys)
     return joined.withColumn("score", F.col(similarity) * F.col("length_score")).drop("length_score")
 
 

@@ -1,4 +1,10 @@
-"""Joins that stay balanced when one key holds a large share of the rows."""
+"""Joins that stay balanced when one key holds a large share of the rows.
+
+Adaptive execution splits the partitions of a hot key by itself in a join whose result is
+shuffled again or written, so joins that only look up one row per key are plain joins. It cannot
+do so where the rows of a key are multiplied by the join or aggregated by the same key right
+after; `skew_join` is for those.
+"""
 
 from __future__ import annotations
 

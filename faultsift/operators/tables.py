@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultsift.operators.skew import hot_keys, skew_join
-
 
 def in_project(df: DataFrame, project: str) -> DataFrame:
     """Add the project as a column."""
@@ -49,21 +47,21 @@ def with_content(features: DataFrame, contents: DataFrame, keys: list[str] | Non
     Keyed by project and cid: cid alone repeats across projects.
     """
     keys = keys or ["project_name", "cid"]
-    return skew_join(features, contents, keys, hot_keys(features, keys))
+    return features.join(contents, keys)
 
 
 def with_reports(candidates: DataFrame, reports: DataFrame) -> DataFrame:
     """Inner join on reports.id = candidates.report_id."""
     reports = reports.withColumnRenamed("id", "report_id")
     shared = [c for c in reports.columns if c in candidates.columns]
-    return skew_join(candidates, reports, shared, hot_keys(candidates, ["report_id"]))
+    return candidates.join(reports, shared)
 
 
 def qualified(sources: DataFrame, mapping: DataFrame) -> DataFrame:
     """Sources with bug_id, commit and match of the mapping, joined on project and cid."""
     keys = ["project_name", "cid"]
     columns = mapping.select(*keys, "bug_id", "commit", "match")
-    return skew_join(columns, sources, keys, hot_keys(columns, keys)).select(
+    return sources.join(columns, keys).select(
         *sources.columns, "bug_id", "commit", "match"
     )
 
@@ -84,7 +82,7 @@ def most_common(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def with_default(df: DataFrame, updates: DataFrame, keys: list[str], column: str, default: float = 0.0) -> DataFrame:
     """Take `column` from `updates` where the key has one, else `default`."""
     kept = df.drop(column)
-    joined = skew_join(kept, updates.select(*keys, column), keys, hot_keys(kept, keys), "left")
+    joined = kept.join(updates.select(*keys, column), keys, "left")
     return joined.withColumn(column, F.coalesce(column, F.lit(default)))
 
 

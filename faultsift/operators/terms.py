@@ -39,25 +39,15 @@ def idf_table(tf: DataFrame, documents: DataFrame, base: float | None = None) ->
     return document_frequencies(tf).withColumn("idf", measures.idf(size, F.col("df"), base))
 
 
-def _frequent(vocabulary: DataFrame, min_rows: int = 1_000_000, limit: int = 10_000) -> DataFrame:
-    """Terms of many documents; at most `limit`, so safe to broadcast."""
-    return vocabulary.where(F.col("df") >= min_rows).orderBy(F.desc("df"), "term").limit(limit).select("term")
-
-
-def lookup(tf: DataFrame, vocabulary: DataFrame, how: str = "inner") -> DataFrame:
-    """Join vocabulary columns to term rows, terms of very many documents spread out."""
-    return skew_join(tf, vocabulary, ["term"], _frequent(vocabulary), how)
-
-
 def tfidf(tf: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Weights ln(tf + 1) * idf; terms outside the vocabulary are dropped, nothing is normalised."""
-    weighted = lookup(tf, vocabulary)
+    weighted = tf.join(vocabulary, "term")
     return weighted.withColumn("weight", measures.damped_tf(F.col("tf")) * F.col("idf")).drop("df", "idf")
 
 
 def unit_tfidf(tf: DataFrame, vocabulary: DataFrame, keys: list[str]) -> DataFrame:
     """Weights tf * idf scaled to length one per document; zero vectors are dropped."""
-    weighted = lookup(tf, vocabulary).withColumn("weight", F.col("tf") * F.col("idf")).drop("df", "idf")
+    weighted = tf.join(vocabulary, "term").withColumn("weight", F.col("tf") * F.col("idf")).drop("df", "idf")
     return weighted.join(lengths(weighted, keys), keys).where(F.col("length") > 0).select(
         *keys, "term", "tf", (F.col("weight") / F.col("length")).alias("weight")
     )
@@ -88,10 +78,8 @@ def _with_pair_values(
     pairs: DataFrame, shared: DataFrame, left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str]
 ) -> DataFrame:
     """Add the sums of a pair and the values of its two documents to the pairs."""
-    ids = pairs.select(*_pair_keys(left_keys, right_keys))
     joined = pairs.join(shared, _pair_keys(left_keys, right_keys), "left")
-    joined = skew_join(joined, left, left_keys, hot_keys(ids, left_keys), "left")
-    return skew_join(joined, right, right_keys, hot_keys(ids, right_keys), "left")
+    return joined.join(left, left_keys, "left").join(right, right_keys, "left")
 
 
 def sparse_cosine(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from faultsift.functions import text
 from faultsift.operators import history, sampling
-from faultsift.operators.skew import hot_keys, skew_join
 from faultsift.operators.terms import pair_cosine, term_frequencies
 from faultsift.session import stage
 from faultsift.sources.schemas import FEATURE_COLUMNS
@@ -83,4 +82,4 @@ def asked_pairs(drawn: DataFrame, touched: DataFrame) -> DataFrame:
     """The drawn files of a report with the time of the report."""
     times = touched.groupBy("report_id").agg(F.min("report_time").alias("report_time"))
     pairs = drawn.select("report_id", F.col("candidate").alias("file")).distinct()
-    return skew_join(pairs, times, ["report_id"], hot_keys(pairs, ["report_id"]))
+    return pairs.join(times, "report_id")

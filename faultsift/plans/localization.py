@@ -10,14 +10,19 @@ from faultsift.operators import scoring, terms
 from faultsift.session import stage
 
 
+def weighted(report_tf: DataFrame, source_tf: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """TF-IDF vectors of reports and sources over the vocabulary of the sources, written once."""
+    source_tf = stage(source_tf)
+    vocabulary = stage(terms.idf_table(source_tf, sources))
+    return stage(terms.tfidf(report_tf, vocabulary)), stage(terms.tfidf(source_tf, vocabulary))
+
+
 def similarities(
-    pairs: DataFrame, left_tf: DataFrame, right_tf: DataFrame, vocabulary: DataFrame,
-    left_vectors: DataFrame, right_vectors: DataFrame, left_keys: list[str], right_keys: list[str], query: list[str],
+    pairs: DataFrame, left_weights: DataFrame, right_weights: DataFrame, left_vectors: DataFrame,
+    right_vectors: DataFrame, left_keys: list[str], right_keys: list[str], query: list[str],
 ) -> DataFrame:
     """TF-IDF and dense cosine of every pair, scaled within the pool of the query and added."""
-    lexical = terms.sparse_cosine(
-        pairs, terms.tfidf(left_tf, vocabulary), terms.tfidf(right_tf, vocabulary), left_keys, right_keys, "lexical"
-    )
+    lexical = terms.sparse_cosine(pairs, left_weights, right_weights, left_keys, right_keys, "lexical")
     both = scoring.dense_cosine(lexical, left_vectors, right_vectors, left_keys, right_keys, name="dense")
     return scoring.fused(stage(both), query, "lexical", "dense")
 
@@ -37,10 +42,10 @@ def localized(
     are known by their stem; files without a dot take no part. The indirect score compares a
     report with the other reports that fixed a file of its pool.
     """
-    vocabulary = terms.idf_table(source_tf, sources)
+    report_weights, source_weights = weighted(report_tf, source_tf, sources)
     pool = candidates.select("report_id", "file").distinct()
     fused = similarities(
-        pool, report_tf, source_tf, vocabulary, report_vectors, source_vectors, ["report_id"], ["file"], ["report_id"]
+        pool, report_weights, source_weights, report_vectors, source_vectors, ["report_id"], ["file"], ["report_id"]
     )
     lengths = scoring.length_scores(sources)
     scored = scoring.direct_scores(fused, lengths, ["file"]).withColumn("key", paths.file_stem(F.col("file")))
@@ -51,7 +56,7 @@ def localized(
     linked = scoring.links(keyed, fixed)
     as_other = lambda df: df.withColumnRenamed("report_id", "other_id")
     similar = similarities(
-        linked, report_tf, as_other(report_tf), vocabulary, report_vectors, as_other(report_vectors),
+        linked, report_weights, as_other(report_weights), report_vectors, as_other(report_vectors),
         ["report_id"], ["other_id"], ["report_id"],
     )
     indirect = scoring.indirect_scores(similar, fixed)
