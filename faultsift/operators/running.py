@@ -57,13 +57,18 @@ def running(
     offsets = per_bucket.select(
         *keys,
         "_bucket",
+        (F.count(F.lit(1)).over(before) > 0).alias("_later"),
         *[F.coalesce(F.sum(f"_b_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in sums],
         *[F.max(f"_b_{name}").over(before).alias(f"_o_{name}") for name in maxima],
         *[F.sum(f"_b_{name}").over(group).alias(total) for name, total in totals.items()],
     )
-    out = rows.join(offsets, [*keys, "_bucket"])
+    if totals:
+        out = rows.join(offsets, [*keys, "_bucket"])
+    else:
+        # A first bucket has nothing before it; most groups have no other.
+        out = rows.join(offsets.where(F.col("_later")), [*keys, "_bucket"], "left")
     for name in sums:
-        out = out.withColumn(name, F.col(name) + F.col(f"_o_{name}"))
+        out = out.withColumn(name, F.col(name) + F.coalesce(F.col(f"_o_{name}"), F.lit(0)))
     for name in maxima:
         out = out.withColumn(name, F.greatest(name, f"_o_{name}"))
     return out.select(*df.columns, *sums, *maxima, *totals.values())

@@ -22,7 +22,16 @@ def data_set(df: DataFrame, path: str) -> None:
 
 
 def delimited(df: DataFrame, path: str, sep: str = ",") -> None:
-    df.write.mode("overwrite").option("header", True).option("sep", sep).option("escape", '"').csv(path)
+    """Delimited text with a header; white space of the values is kept."""
+    (
+        df.write.mode("overwrite")
+        .option("header", True)
+        .option("sep", sep)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def features(df: DataFrame, path: str) -> None:
