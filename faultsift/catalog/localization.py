@@ -128,15 +128,15 @@ def direct_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
 WITH {DENSE},
-fixes AS (SELECT DISTINCT l_orderkey % (SELECT count(*) FROM embeddings) AS report_id, l_suppkey AS key FROM lineitem)
+fixes AS (SELECT DISTINCT c_custkey % (SELECT count(*) FROM embeddings) AS report_id, c_nationkey AS key FROM customer)
 SELECT vec_id AS report_id, key, max(cosine) AS score FROM dense JOIN fixes ON other_id = fixes.report_id
 WHERE vec_id <> other_id GROUP BY ALL"""
 )
 def indirect_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per report and file the best similarity of another report that fixed the file."""
     n = data.size_of(data.table(spark, sf_dir, "embeddings"))
-    fixes = data.table(spark, sf_dir, "lineitem").select(
-        F.pmod("l_orderkey", n).alias("report_id"), F.col("l_suppkey").alias("key")
+    fixes = data.table(spark, sf_dir, "customer").select(
+        F.pmod("c_custkey", n).alias("report_id"), F.col("c_nationkey").alias("key")
     )
     similar = dense_cosine(spark, sf_dir).withColumnRenamed("vec_id", "report_id")
     return scoring.indirect_scores(similar, fixes, "cosine").select("report_id", "key", "score")

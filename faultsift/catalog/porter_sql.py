@@ -7,7 +7,7 @@ M0 = f"^{C}*{V}+{C}"
 M1 = f"^{C}*{V}+{C}+{V}+{C}"
 ME1 = f"^{C}*{V}+{C}+{V}*$"
 SHORT = f"{C}{V}[^aeiouywxY]$"
-DOUBLE = "(bb|cc|dd|ff|gg|hh|jj|kk|mm|nn|pp|qq|rr|tt|vv|ww|xx|YY)$"
+DOUBLE = "(bb|cc|dd|ff|gg|hh|jj|kk|mm|nn|pp|qq|rr|tt|vv|ww|xx|yY)$"
 
 
 def _like(x: str, pattern: str) -> str:

@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_PARENT_STEPS = 16
+def normalized_path(path: Column) -> Column:
+    """POSIX path normal form: no `.`, no empty part, `..` resolved as far as possible."""
+    root = F.when(path.rlike("^//([^/]|$)"), F.lit("//")).when(path.startswith("/"), F.lit("/")).otherwise("")
 
+    def step(done: Column, part: Column) -> Column:
+        stuck = (F.size(done) == 0) | (F.element_at(done, F.greatest(F.size(done), F.lit(1))) == "..")
+        return (
+            F.when((part == "") | (part == "."), done)
+            .when((part == "..") & ~stuck, F.slice(done, 1, F.size(done) - 1))
+            .when((part == "..") & path.startswith("/"), done)
+            .otherwise(F.concat(done, F.array(part)))
+        )
 
-def normalized_path(path: Column, max_parent_steps: int = MAX_PARENT_STEPS) -> Column:
-    """POSIX path normal form. At most `max_parent_steps` rounds resolve `..` parts."""
-    path = F.regexp_replace(path, "/{2,}", "/")
-    path = F.regexp_replace(path, r"(^|/)(\./)+", "$1")
-    path = F.regexp_replace(path, r"(.)/\.?$", "$1")
-    for _ in range(max_parent_steps):
-        path = F.regexp_replace(path, r"(^|/)(?!\.\./)[^/]+/\.\.(/|$)", "$1")
-    path = F.regexp_replace(path, r"^/(\.\./)+", "/")
-    path = F.regexp_replace(path, r"(.)/$", "$1")
-    return F.when(path == "", F.lit(".")).otherwise(path)
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    joined = F.concat(root, F.array_join(parts, "/"))
+    return F.when(joined == "", F.lit(".")).otherwise(joined)
 
 
 def file_list(text: Column) -> Column:
     """Normalised paths of a white-space separated list; an empty text has none."""
     parts = F.filter(F.split(F.trim(text), r"\s+"), lambda p: p != "")
-    return F.transform(parts, lambda p: normalized_path(p))
+    return F.transform(parts, normalized_path)
 
 
 def file_stem(file: Column) -> Column:

@@ -40,9 +40,10 @@ def sampled_wrong_files(positives: DataFrame, files: DataFrame, n: int, seed: st
     """For every (report_id, file) of `positives`, n files the report did not fix.
 
     All files lie on a circle in random order. A positive starts at a random place and takes the
-    next n files that its report did not fix (all such files, where there are fewer than n). The
-    walk is long enough for 3 n fixed files; the few positives that need more walk as far as the
-    number of files their report fixed. No pairing of reports with all files takes place.
+    next n files that its report did not fix (all such files, where there are fewer than n). A
+    walk past n plus the number of fixed files is always long enough. Reports with more than 3 n
+    fixed files try 4 n steps first; only positives still short of n go the whole way. No pairing
+    of reports with all files takes place.
     Adds `candidate` and `draw` (1 ... n).
     """
     files = files.select("file").distinct()
@@ -65,14 +66,14 @@ def sampled_wrong_files(positives: DataFrame, files: DataFrame, n: int, seed: st
             .select("report_id", "file", "candidate", "draw")
         )
 
-    reach = F.lit(4 * n).cast("bigint")
-    near = walk(starts, F.least(F.col("_fixed") + n, reach))
-    far = starts.where(F.col("_fixed") + n > reach)
-    complete = near.where(F.col("draw") == n).select("report_id", "file")
-    short = far.join(complete, ["report_id", "file"], "left_anti")
-    rest = walk(short, F.col("_fixed") + n)
-    done = near.join(short.select("report_id", "file"), ["report_id", "file"], "left_anti")
-    return done.unionByName(rest)
+    enough, reach = F.col("_fixed") + n, F.lit(4 * n).cast("bigint")
+    usual = walk(starts.where(enough <= reach), enough)
+    many = starts.where(enough > reach)
+    tried = walk(many, reach)
+    complete = tried.where(F.col("draw") == n).select("report_id", "file")
+    short = many.join(complete, ["report_id", "file"], "left_anti")
+    first = tried.join(complete, ["report_id", "file"], "left_semi")
+    return usual.unionByName(first).unionByName(walk(short, enough))
 
 
 def hardest(scored: DataFrame, k: int, score: str = "rVSM_similarity") -> DataFrame:

@@ -57,10 +57,11 @@ def term_table(docs: DataFrame, keys: list[str], tokens: Column, mode: str, stop
     """
     words = text.exploded(docs, keys, F.transform(tokens, F.lower))
     counted = words.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))
-    stems = with_stems(counted, "token", F.col("n"))
     dropped = list(text.dropped_stems(mode, stop_words))
-    kept = stems.where(~F.col("token").isin(dropped) & (F.length("token") >= 2))
-    return kept.groupBy(*keys, F.col("token").alias("term")).agg(F.sum("n").alias("tf"))
+    stems = with_stems(
+        counted, "token", F.col("n"), keep=lambda s: ~s.isin(dropped) & (F.length(s) >= 2)
+    )
+    return stems.groupBy(*keys, F.col("token").alias("term")).agg(F.sum("n").alias("tf"))
 
 
 def split_reports(reports: DataFrame, membership: DataFrame) -> DataFrame:
