@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session may fall back to a temporary folder of this machine.
     """
-    named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
+    named = spark.conf.get(CHECKPOINT_DIR, None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
@@ -39,7 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"{CHECKPOINT_DIR} is not set; name a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="faultsift-checkpoint-")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="faultsift-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -56,6 +58,4 @@ def stage(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    import uuid
-
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")

@@ -60,9 +60,10 @@ def source_tree(spark: SparkSession, root: str, suffix: str = ".java") -> DataFr
         .text(root, wholetext=True)
         .select("value", F.col("_metadata.file_path").alias("path"))
     )
-    base = F.lit("/" + root.split(":", 1)[-1].strip("/") + "/")
+    base = "/" + root.split(":", 1)[-1].strip("/") + "/"
     local = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
-    return files.select(F.substring_index(local, base, -1).alias("file"), F.col("value").alias("file_content"))
+    start = F.instr(local, base) + len(base)
+    return files.select(F.substring(local, start, F.length(local)).alias("file"), F.col("value").alias("file_content"))
 
 
 def keyed_text(spark: SparkSession, path: str) -> DataFrame:
