@@ -76,18 +76,13 @@ def collaborative_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 WITH hub AS (SELECT l_partkey FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
-SELECT DISTINCT o_orderkey AS id FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+SELECT DISTINCT o_orderkey AS report_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey
 WHERE l_partkey = (SELECT l_partkey FROM hub) AND o_orderdate < TIMESTAMP '1999-01-01'"""
 )
 def previous_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports that fixed the most often fixed file before a day."""
-    items = data.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    items = data.table(spark, sf_dir, "lineitem").select("l_partkey")
     most = items.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l_partkey").limit(1)
-    orders = data.table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("report_time")
-    )
-    # An order has as many files as line items.
-    files = items.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("files"))
-    hub = most.select("l_partkey").scalar()
     until = F.lit("1999-01-01").cast("timestamp_ntz")
-    return history.previous_reports(orders.join(files, "id"), hub, until).select("id")
+    hub = most.select("l_partkey").scalar()
+    return history.previous_reports(data.touches(spark, sf_dir), hub, until).select("report_id")

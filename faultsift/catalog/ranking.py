@@ -128,14 +128,14 @@ def margin_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH ranked AS (
-  SELECT source, 'lib/' || lang || '/Doc' || doc_id || '.java' AS file,
-         row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank, doc_id FROM documents),
-fixes AS (SELECT source, 'Doc' || doc_id || '.' AS fix FROM documents d JOIN labels l USING (doc_id) WHERE quality = 0
-          UNION ALL SELECT DISTINCT source, '/en/' FROM documents),
-hits AS (SELECT r.source, rank, count(f.fix) AS h FROM ranked r LEFT JOIN fixes f ON f.source = r.source AND contains(r.file, f.fix) GROUP BY 1, 2),
-found AS (SELECT *, coalesce(sum(h) OVER (PARTITION BY source ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM hits)
-SELECT source, round(CASE WHEN sum(h) > 0 THEN sum((h * b + h * (h + 1) / 2) / rank) / sum(h) ELSE 0 END, 6) AS average_precision,
+WITH lines AS (SELECT DISTINCT l_orderkey AS report_id, l_suppkey, l_partkey, l_extendedprice FROM lineitem),
+ranked AS (
+  SELECT report_id, 'lib/S' || (l_suppkey % 10) || '/P' || l_partkey || '.java' AS file,
+         row_number() OVER (PARTITION BY report_id ORDER BY l_extendedprice DESC, l_partkey, l_suppkey) AS rank FROM lines),
+fixes AS (SELECT o_orderkey AS report_id, unnest(['/S' || (o_custkey % 10) || '/', (o_custkey % 100) || '.']) AS fix FROM orders),
+hits AS (SELECT r.report_id, rank, count(f.fix) AS h FROM ranked r LEFT JOIN fixes f ON f.report_id = r.report_id AND contains(r.file, f.fix) GROUP BY 1, 2),
+found AS (SELECT *, coalesce(sum(h) OVER (PARTITION BY report_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM hits)
+SELECT report_id, round(CASE WHEN sum(h) > 0 THEN sum((h * b + h * (h + 1) / 2) / rank) / sum(h) ELSE 0 END, 6) AS average_precision,
        coalesce(min(CASE WHEN h > 0 THEN rank END), -1) AS first_pos
 FROM found GROUP BY 1"""
 )
@@ -143,24 +143,21 @@ def path_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average precision and first position by path substring."""
     from faultsift.operators.running import numbered, with_score_block
 
-    docs = data.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    number = F.col("doc_id").cast("string")
-    files = docs.select(
-        "source", "doc_id", (-F.col("n_chars")).cast("double").alias("_size"),
-        F.concat(F.lit("lib/"), "lang", F.lit("/Doc"), number, F.lit(".java")).alias("file"),
+    lines = data.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("report_id"), "l_suppkey", "l_partkey", (-F.col("l_extendedprice")).alias("_price")
     )
-    ranked = numbered(
-        with_score_block(files, "_size"), ["source"], [F.col("_size"), F.col("doc_id")], F.col("_block"), "rank"
+    blocked = with_score_block(lines.distinct(), "_price")
+    order = [F.col("_price"), F.col("l_partkey"), F.col("l_suppkey")]
+    ranked = numbered(blocked, ["report_id"], order, F.col("_block"), "rank")
+    shelf = F.pmod("l_suppkey", F.lit(10)).cast("string")
+    file = F.concat(F.lit("lib/S"), shelf, F.lit("/P"), F.col("l_partkey").cast("string"), F.lit(".java"))
+    customer = F.col("o_custkey")
+    folder = F.concat(F.lit("/S"), F.pmod(customer, F.lit(10)).cast("string"), F.lit("/"))
+    name = F.concat(F.pmod(customer, F.lit(100)).cast("string"), F.lit("."))
+    fixes = data.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("report_id"), F.array(folder, name).alias("fixes")
     )
-    poor = data.table(spark, sf_dir, "labels").where(F.col("quality") == 0).select("doc_id")
-    # One list of fixes per report, as the report table has it.
-    fixes = docs.join(poor, "doc_id").groupBy("source").agg(
-        F.collect_list(F.concat(F.lit("Doc"), number, F.lit("."))).alias("fixes")
-    )
-    all_fixes = docs.select("source").distinct().join(fixes, "source", "left").select(
-        "source", F.concat(F.coalesce("fixes", F.array().cast("array<string>")), F.array(F.lit("/en/"))).alias("fixes")
-    )
-    out = ranking.path_precision(ranked, all_fixes, ["source"])
+    out = ranking.path_precision(ranked.select("report_id", "rank", file.alias("file")), fixes, ["report_id"])
     return out.withColumn("average_precision", F.round("average_precision", 6))
 
 

@@ -146,7 +146,9 @@ SELECT event_id, rn % 51 = 0 AS flag FROM (SELECT event_id, row_number() OVER (O
 def every_51st(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flag on every 51st row."""
     rows = data.table(spark, sf_dir, "events").select("event_id", "user_id")
-    return sampling.every_nth(rows, [F.col("user_id"), F.col("event_id")], F.col("user_id")).select("event_id", "flag")
+    user, event = F.col("user_id"), F.col("event_id")
+    block = F.struct(user, id_block(event))
+    return sampling.every_nth(rows, [user, event], block).select("event_id", "flag")
 
 
 @query(

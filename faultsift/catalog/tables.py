@@ -9,6 +9,7 @@ from faultsift.catalog import data
 from faultsift.catalog.registry import query
 from faultsift.functions import paths, text
 from faultsift.operators import tables
+from faultsift.operators.running import id_block
 from faultsift.plans import datasets
 
 
@@ -275,6 +276,6 @@ def small_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     order = [F.col(c) for c in ("report_id", "l_linenumber", "cid", "l_suppkey")]
     out = datasets.small_training_set(
-        reports, _candidates(spark, sf_dir), _contents(spark, sf_dir), order, F.floor(F.col("report_id") / 1024), negatives=2
+        reports, _candidates(spark, sf_dir), _contents(spark, sf_dir), order, id_block(F.col("report_id")), negatives=2
     )
     return out.withColumns({"report": F.md5("report"), "file_content": F.md5("file_content")})

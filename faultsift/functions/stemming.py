@@ -135,7 +135,7 @@ def porter(word: Column) -> Column:
     return F.when(F.length(word) <= 2, word).otherwise(_let(marked, run(STEPS)))
 
 
-FREQUENT_WORDS = 20_000
+FREQUENT_WORDS = 5_000
 
 
 def with_stems(

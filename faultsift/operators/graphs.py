@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from faultsift.operators.running import numbered, running
 
-POSITION_BLOCK = 4096
+POSITION_BLOCK = 1 << 18
 MAX_NODES = 1024
 
 

@@ -24,9 +24,9 @@ def touches(reports: DataFrame) -> DataFrame:
     )
 
 
-def previous_reports(reports: DataFrame, file: str, until: Column) -> DataFrame:
-    """Reports that fixed `file` before `until`."""
-    return reports.where(F.array_contains("files", file) & (F.col("report_time") < until))
+def previous_reports(touched: DataFrame, file: Column, until: Column) -> DataFrame:
+    """Touches of `file` strictly before `until`."""
+    return touched.where((F.col("file") == file) & (F.col("report_time") < until))
 
 
 def year(time: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultsift.functions import measures
-from faultsift.operators.running import running, with_score_block
+from faultsift.operators.running import id_block, running, with_score_block
 from faultsift.operators.skew import hot_keys, skew_join
 
 MAX_K = 20
@@ -32,7 +32,7 @@ def average_precision(scored: DataFrame, query: list[str], buckets: int | None =
     steps = scored.groupBy(*query, "score").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("match").cast("bigint").alias("_p")
     )
-    blocked = with_score_block(steps, "score", **({"buckets": buckets} if buckets else {}))
+    blocked = with_score_block(steps, "score", buckets=buckets)
     ranked = running(
         blocked,
         query,
@@ -115,14 +115,14 @@ def hit_at_k(ranks: DataFrame, group: list[str] | None = None, rank: str = "firs
 def path_precision(ranked: DataFrame, fixes: DataFrame, query: list[str], file: str = "file", rank: str = "rank") -> DataFrame:
     """Average precision and first position where a fixed path occurs inside a predicted path.
 
-    `ranked` has one row per query and rank, `fixes` one row per query with an array `fixes`. A
-    prediction counts once per fix it contains. Without a hit: 0 and -1.
+    `ranked` has one row per query and rank, `fixes` one row per query with an array `fixes`, the
+    list a report comes with. A prediction counts once per fix it contains. Without a hit: 0 and -1.
     """
     joined = skew_join(ranked, fixes, query, hot_keys(ranked, query), "left")
     hits = F.size(F.filter(F.coalesce("fixes", F.array().cast("array<string>")), lambda f: F.contains(F.col(file), f)))
     counted = joined.select(*query, F.col(rank).cast("bigint").alias("_rank"), hits.cast("bigint").alias("_hits"))
     before = running(
-        counted, query, [F.col("_rank")], F.floor(F.col("_rank") / 4096), sums={"_before": F.col("_hits")}, inclusive=False
+        counted, query, [F.col("_rank")], id_block(F.col("_rank")), sums={"_before": F.col("_hits")}, inclusive=False
     )
     hits, before_hits = F.col("_hits"), F.col("_before")
     gain = (hits * before_hits + hits * (hits + 1) / 2) / F.col("_rank")

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
-SCORE_BUCKETS = 1024
+MIN_SCORE_BUCKETS = 256
+MAX_SCORE_BUCKETS = 10_000
 
 
 def running(
@@ -95,15 +97,17 @@ def hash_block(digest: Column, digits: int = 3) -> Column:
     return F.substring(digest, 1, digits)
 
 
-def with_score_block(df: DataFrame, score: str, name: str = "_block", buckets: int = SCORE_BUCKETS) -> DataFrame:
+def with_score_block(df: DataFrame, score: str, name: str = "_block", buckets: int | None = None) -> DataFrame:
     """Add a bucket for a double order column: quantiles of the whole column.
 
-    Every bucket has about rows / buckets rows however the rows spread over groups. Finding the
-    boundaries is one pass over `df` (at most `buckets` numbers reach the driver).
+    Every bucket has about rows / buckets rows however the rows spread over groups; there are as
+    many buckets as shuffle partitions, within bounds. Finding the boundaries is one pass over
+    `df`, and they are all that reaches the driver.
     """
-    from pyspark.ml.feature import QuantileDiscretizer
-
+    if buckets is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(MIN_SCORE_BUCKETS, min(MAX_SCORE_BUCKETS, partitions))
     discretizer = QuantileDiscretizer(
-        numBuckets=buckets, inputCol=score, outputCol=name, relativeError=0.1 / buckets, handleInvalid="keep"
+        numBuckets=buckets, inputCol=score, outputCol=name, relativeError=0.25 / buckets, handleInvalid="keep"
     )
     return discretizer.fit(df).transform(df)

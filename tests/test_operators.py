@@ -201,7 +201,7 @@ def test_touches_and_previous_reports(spark):
     reports = spark.createDataFrame([("1", TIMES[0], ["a", "a", "b"]), ("2", TIMES[3], ["a"])], "id string, report_time timestamp_ntz, files array<string>")
     assert rows(history.touches(reports), "report_id", "file") == [("1", "a"), ("1", "b"), ("2", "a")]
     until = F.lit(TIMES[3].isoformat()).cast("timestamp_ntz")
-    assert rows(history.previous_reports(reports, "a", until), "id") == [("1",)]
+    assert rows(history.previous_reports(history.touches(reports), F.lit("a"), until), "report_id") == [("1",)]
 
 
 # Scores
