@@ -6,6 +6,9 @@ the candidate pool; work grows with the pool times the terms of its reports.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,11 +67,20 @@ def _pair_keys(left_keys: list[str], right_keys: list[str]) -> list[str]:
 
 
 def shared_terms(
-    pairs: DataFrame, left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], value: str
+    pairs: DataFrame,
+    left: DataFrame,
+    right: DataFrame,
+    left_keys: list[str],
+    right_keys: list[str],
+    value: str,
+    tags: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Rows (pair, term, left_value, right_value) for terms both sides of a pair have."""
+    """Rows (pair, term, left_value, right_value) for terms both sides of a pair have.
+
+    `tags` are further columns of the right side to keep.
+    """
     l_terms = left.select(*left_keys, "term", F.col(value).alias("left_value"))
-    r_terms = right.select(*right_keys, "term", F.col(value).alias("right_value"))
+    r_terms = right.select(*right_keys, "term", F.col(value).alias("right_value"), *tags)
     ids = pairs.select(*_pair_keys(left_keys, right_keys))
     opened = skew_join(ids, l_terms, left_keys, hot_keys(ids, left_keys))
     return skew_join(opened, r_terms, [*right_keys, "term"], hot_keys(ids, right_keys))
@@ -113,20 +125,46 @@ def pair_cosine(
 ) -> DataFrame:
     """Cosine of two texts under TF-IDF fitted on these two texts alone. One row per pair.
 
-    Takes term frequencies; 0 when one text has no term, null when neither has one. The inverse
-    document frequency has two possible values, so sums over shared terms are all it takes.
+    Takes term frequencies; 0 when one text has no term, null when neither has one.
+    """
+    return pair_cosines(pairs, left, {name: right}, left_keys, right_keys)
+
+
+def pair_cosines(
+    pairs: DataFrame, left: DataFrame, rights: Mapping[str, DataFrame], left_keys: list[str], right_keys: list[str]
+) -> DataFrame:
+    """`pair_cosine` of the left text with several texts of the right side in one pass.
+
+    `rights` maps the name of a similarity to term frequencies. The inverse document frequency
+    has two possible values, so sums over shared terms are all it takes.
     """
+    right = reduce(
+        DataFrame.unionByName,
+        (tf.select(*right_keys, "term", "tf", F.lit(i).alias("_part")) for i, tf in enumerate(rights.values())),
+    )
     lv, rv = F.col("left_value").cast("double"), F.col("right_value").cast("double")
+    square = F.col("tf").cast("double") * F.col("tf").cast("double")
+
+    def part_sum(value: Column, i: int, name: str) -> Column:
+        return F.sum(F.when(F.col("_part") == i, value).otherwise(0.0)).alias(f"{name}{i}")
+
+    parts = range(len(rights))
     shared = (
-        shared_terms(pairs, left, right, left_keys, right_keys, "tf")
+        shared_terms(pairs, left, right, left_keys, right_keys, "tf", ("_part",))
         .groupBy(*_pair_keys(left_keys, right_keys))
-        .agg(F.sum(lv * rv).alias("_dot"), F.sum(lv * lv).alias("_ls"), F.sum(rv * rv).alias("_rs"))
+        .agg(*[part_sum(v, i, n) for i in parts for v, n in ((lv * rv, "_dot"), (lv * lv, "_ls"), (rv * rv, "_rs"))])
     )
     l_all = squares(left, left_keys).withColumnRenamed("squares", "_la")
-    r_all = squares(right, right_keys).withColumnRenamed("squares", "_ra")
+    r_all = right.groupBy(*right_keys).agg(*[part_sum(square, i, "_ra") for i in parts])
     joined = _with_pair_values(pairs, shared, l_all, r_all, left_keys, right_keys)
-    parts = [F.coalesce(c, F.lit(0.0)) for c in ("_dot", "_ls", "_la", "_rs", "_ra")]
-    return joined.withColumn(name, measures.pair_cosine(*parts)).drop("_dot", "_ls", "_la", "_rs", "_ra")
+    zero = F.lit(0.0)
+    return joined.select(
+        *pairs.columns,
+        *[
+            measures.pair_cosine(*[F.coalesce(c, zero) for c in (f"_dot{i}", f"_ls{i}", "_la", f"_rs{i}", f"_ra{i}")]).alias(name)
+            for i, name in enumerate(rights)
+        ],
+    )
 
 
 def squares(tf: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultsift.functions import text
 from faultsift.operators import history, sampling
-from faultsift.operators.terms import pair_cosine, term_frequencies
+from faultsift.operators.terms import pair_cosines, term_frequencies
 from faultsift.session import stage
 from faultsift.sources.schemas import FEATURE_COLUMNS
 
@@ -25,9 +25,8 @@ def unknown_files(touched: DataFrame, sources: DataFrame) -> DataFrame:
 
 def lexical(pairs: DataFrame, report_tf: DataFrame, source_tf: DataFrame, class_tf: DataFrame) -> DataFrame:
     """Add rVSM_similarity and classname_similarity to pairs (report_id, file)."""
-    keys = (["report_id"], ["file"])
-    by_text = pair_cosine(pairs, report_tf, source_tf, *keys, name="rVSM_similarity")
-    return pair_cosine(by_text, report_tf, class_tf, *keys, name="classname_similarity")
+    texts = {"rVSM_similarity": source_tf, "classname_similarity": class_tf}
+    return pair_cosines(pairs, report_tf, texts, ["report_id"], ["file"])
 
 
 def feature_table(
