@@ -173,6 +173,18 @@ def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("query_id", "candidate_id", "score", "rank")
 
 
+@query(
+    f"""
+WITH {data.SCORED}
+SELECT project, query_id, candidate_id, row_number() OVER (PARTITION BY project, query_id ORDER BY score DESC, candidate_id) AS rank
+FROM scored"""
+)
+def full_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank of every candidate of every query."""
+    ranked = ranking.full_ranking(data.scored(spark, sf_dir), ["project", *QUERY], CANDIDATE)
+    return ranked.select("project", "query_id", "candidate_id", "rank")
+
+
 METRICS = f"""
 {PRECISION},
 long AS (

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultsift.functions import measures
-from faultsift.operators.running import id_block, running, with_score_block
+from faultsift.operators.running import id_block, numbered, running, with_score_block
 from faultsift.operators.skew import hot_keys, skew_join
 
 MAX_K = 20
@@ -21,12 +21,20 @@ def top_k(scored: DataFrame, query: list[str], candidate: str, k: int, score: st
     """The k best candidates per query with their rank, ties by candidate.
 
     Spark limits each group on the map side before the shuffle, so a large group costs k rows per
-    task.
+    task (while k is below spark.sql.optimizer.windowGroupLimitThreshold).
     """
     order = Window.partitionBy(*query).orderBy(F.desc(score), F.asc(candidate))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def full_ranking(scored: DataFrame, query: list[str], candidate: str) -> DataFrame:
+    """All candidates with their rank per query, best first, ties by candidate."""
+    falling = scored.withColumn("_falling", -F.col("score"))
+    order = [F.col("_falling"), F.col(candidate)]
+    ranked = numbered(with_score_block(falling, "_falling"), query, order, F.col("_block"), "rank")
+    return ranked.drop("_falling", "_block")
+
+
 def average_precision(scored: DataFrame, query: list[str], buckets: int | None = None) -> DataFrame:
     """Rows (query, n, positives, average_precision); 0 for a query without a match."""
     steps = scored.groupBy(*query, "score").agg(

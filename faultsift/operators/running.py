@@ -33,10 +33,12 @@ def running(
 
     `sums` and `maxima` name new columns; without earlier rows they are 0 and null. With
     `inclusive=False` the current row does not count. `totals` maps the name of a sum to a new
-    column with its total over the group. Keys must not be null.
+    column with its total over the group. Keys and bucket must not be null.
     """
     sums, maxima, totals = dict(sums or {}), dict(maxima or {}), dict(totals or {})
-    base = df.withColumn("_bucket", bucket)
+    # The join below asks for these filters; stated here, both of its sides are the same up to
+    # their first shuffle, which then runs once.
+    base = df.withColumn("_bucket", bucket).na.drop(how="any", subset=[*keys, "_bucket"])
     for name, value in {**sums, **maxima}.items():
         base = base.withColumn(f"_in_{name}", value)
 

@@ -87,8 +87,10 @@ def with_default(df: DataFrame, updates: DataFrame, keys: list[str], column: str
 
 
 def distinct_contents(sources: DataFrame, content: str = "file_content") -> DataFrame:
-    """One row per content hash."""
-    return sources.withColumn("doc_hash", F.md5(F.col(content))).dropDuplicates(["doc_hash"])
+    """One row per content hash; of equal contents the one smallest in its other columns."""
+    hashed = sources.withColumn("doc_hash", F.md5(F.col(content)))
+    order = [F.col(c) for c in sources.columns if c != content]
+    return first_by(hashed, ["doc_hash"], order) if order else hashed.dropDuplicates(["doc_hash"])
 
 
 def rejects(df: DataFrame, reasons: Mapping[str, Column]) -> DataFrame:

@@ -262,6 +262,7 @@ def test_rank_measures_equal_brute_force(spark, seed):
     precision = {r.query_id: r.average_precision for r in ranking.average_precision(df, ["query_id"], buckets=3).collect()}
     first = {r.query_id: r.first_rank for r in ranking.first_rank(df, ["query_id"], "candidate_id").collect()}
     ranks = {(r.query_id, r.candidate_id): r.rank for r in ranking.positive_ranks(df, ["query_id"], "candidate_id").collect()}
+    places = {(r.query_id, r.candidate_id): r["rank"] for r in ranking.full_ranking(df, ["query_id"], "candidate_id").collect()}
     top = Counter(r.query_id for r in ranking.top_k(df, ["query_id"], "candidate_id", 3).collect())
     for q, cands in queries.items():
         total = sum(m for _, m in cands)
@@ -273,6 +274,7 @@ def test_rank_measures_equal_brute_force(spark, seed):
         order = sorted(range(len(cands)), key=lambda i: (-cands[i][0], i))
         hits = [n + 1 for n, i in enumerate(order) if cands[i][1]]
         assert first[q] == (hits[0] if hits else None)
+        assert [places[(q, i)] for i in order] == list(range(1, len(order) + 1))
         assert top[q] == min(3, len(cands))
         for i, (s, m) in enumerate(cands):
             if m:
