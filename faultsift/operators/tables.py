@@ -51,10 +51,10 @@ def with_content(features: DataFrame, contents: DataFrame, keys: list[str] | Non
 
 
 def with_reports(candidates: DataFrame, reports: DataFrame) -> DataFrame:
-    """Inner join on reports.id = candidates.report_id."""
-    reports = reports.withColumnRenamed("id", "report_id")
-    shared = [c for c in reports.columns if c in candidates.columns]
-    return candidates.join(reports, shared)
+    """Inner join on reports.id = candidates.report_id, within the project where both sides name one."""
+    keyed = reports.withColumnRenamed("id", "report_id")
+    both_name_it = "project_name" in keyed.columns and "project_name" in candidates.columns
+    return candidates.join(keyed, ["report_id", "project_name"] if both_name_it else ["report_id"])
 
 
 def qualified(sources: DataFrame, mapping: DataFrame) -> DataFrame:
