@@ -6,8 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from faultsift.llm import bpe, language, outliers, packing
+from pyspark.sql import functions as F
+
+from faultsift.llm import (
+    boilerplate,
+    bpe,
+    contextual_pii,
+    language,
+    line_hashing,
+    norm_buckets,
+    outliers,
+    packing,
+    probminhash,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,11 +42,92 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    chain = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), labels, chain)
+
+
+@query(
+    r"""
+    WITH cut AS (
+      SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit,
+             generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS unit_no
+      FROM documents),
+    placed AS (
+      SELECT doc_id, unit_no, length(unit) AS n,
+             coalesce(sum(length(unit) + 1) OVER (
+               PARTITION BY doc_id ORDER BY unit_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+             trim(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
+      FROM cut),
+    long_ones AS (SELECT * FROM placed WHERE len(string_split(norm, ' ')) >= 25),
+    ranked AS (
+      SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS first_doc_id,
+             first_value(unit_no) OVER w AS first_unit_no
+      FROM long_ones WINDOW w AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, unit_no))
+    SELECT doc_id, CAST(unit_no AS BIGINT) AS unit_no, CAST(start AS BIGINT) AS start,
+           CAST(start + n AS BIGINT) AS stop, first_doc_id, CAST(first_unit_no AS BIGINT) AS first_unit_no
+    FROM ranked WHERE place > 1
+    """
+)
+def op2_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = line_hashing.repeats(table(spark, sf_dir, "documents"))
+    return gone.select("doc_id", "unit_no", "start", "stop", F.col("first_key").alias("first_doc_id"), "first_unit_no")
+
+
+@query()
+def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 @query()
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query(
+    r"""
+    WITH cut AS (
+      SELECT doc_id, coalesce(source, '') AS host, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+             generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no
+      FROM documents),
+    stripped AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS bare FROM cut),
+    totals AS (SELECT coalesce(source, '') AS host, count(*) AS host_pages FROM documents GROUP BY 1),
+    frequent AS (
+      SELECT host, bare FROM stripped JOIN totals USING (host) WHERE bare <> '' GROUP BY host, bare, host_pages
+      HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) > 0.1 * host_pages),
+    marked AS (
+      SELECT s.*, f.bare IS NOT NULL AS gone FROM stripped s LEFT JOIN frequent f ON s.host = f.host AND s.bare = f.bare)
+    SELECT doc_id, CAST(count(*) FILTER (bare <> '') AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+           md5(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '')) AS text_md5
+    FROM marked GROUP BY doc_id
+    """
+)
+def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = boilerplate.without_boilerplate(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+@query(
+    """
+    WITH good AS (
+      SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+      FROM embeddings
+      WHERE embedding IS NOT NULL AND len(embedding) > 0
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+             CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
+      FROM good q JOIN good c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored)
+    SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5
+    """
+)
+def op6_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_buckets.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query()
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -50,6 +143,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contextual_pii.personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
+
+
 @query()
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
