@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,36 +28,37 @@ class WordEncoder:
     """Ids of texts as packed little-endian unsigned 32-bit numbers.
 
     The tokenizer never joins what a space or line break separates, so a text's ids are those of
-    its parts in order. Parts met for the first time are encoded in one call, a control sign
-    between them, and kept in a cache of bounded size.
+    its parts in order. Parts met for the first time are encoded together and kept in a cache of
+    bounded size. Of an ASCII word and the stops behind it each is encoded once, in lower case, as
+    the tokenizer lowers case and splits there itself.
     """
 
-    SIGN = "\x01"
+    WORD = re.compile(r"([A-Za-z]+)([.,!?;:]*)")
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        sign = self._ids(self.SIGN)
-        assert len(sign) == 1
-        self.sign = sign[0]
-        self.cache = WordCache(self._parts)
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.cache = WordCache(self._parts, 700_000)
+        self.atoms = WordCache(self._encoded, 500_000)
 
     def _parts(self, parts: list[str]) -> list[bytes]:
-        plain = [part for part in parts if self.SIGN not in part]
-        known = {part: np.array(self._ids(part), "<u4").tobytes() for part in parts if self.SIGN in part}
-        for start in range(0, len(plain), 2_000):
-            some = plain[start : start + 2_000]
-            ids = np.array(self._ids(f" {self.SIGN} ".join(some)), "<u4")
-            ends = np.flatnonzero(ids == self.sign)
-            at, data = 0, ids.tobytes()
-            for part, end in zip(some, [*ends.tolist(), len(ids)], strict=True):
-                known[part] = data[4 * at : 4 * end]
-                at = end + 1
-        return [known[part] for part in parts]
+        split = []
+        for part in parts:
+            word = self.WORD.fullmatch(part)
+            split.append((word[1].lower(), word[2]) if word else (part,))
+        self.atoms.add({atom for atoms in split for atom in atoms})
+        return [b"".join(map(self.atoms.__getitem__, atoms)) for atoms in split]
+
+    def _encoded(self, parts: list[str]) -> list[bytes]:
+        out = []
+        for start in range(0, len(parts), 2_000):
+            some = parts[start : start + 2_000]
+            encoded = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            data = np.array(encoded.ids, "<u4").tobytes()
+            edges = np.searchsorted(np.array(encoded.word_ids, "int64"), np.arange(len(some) + 1)).tolist()
+            out.extend(data[4 * a : 4 * b] for a, b in zip(edges, edges[1:], strict=False))
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         split = [text.replace("\n", " ").split(" ") for text in texts]
