@@ -91,9 +91,9 @@ def digest(text: Column) -> Column:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the undirected edges (a, b), root the least node it reaches.
+    """(node, root) of every node of the undirected edges (a, b) but the roots, each the least node that others reach.
 
-    Alternates two steps until nothing changes: every node hands its larger neighbours the least
+    Alternates two steps until only stars are left: every node hands its larger neighbours the least
     node of its neighbourhood, then every node hands its smaller neighbours to the least of them.
     Both are grouped minima and joins back, so a node with very many neighbours is pre-aggregated
     and its join is one that adaptive execution splits. Every round is written out, so the plan
@@ -105,12 +105,11 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct(),
         "edges",
     )
-    mark = None
-    while True:
+    while not _is_forest_of_stars(pairs):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        up = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage(up.where("u != v").distinct(), "edges")
+        up = both.where("v > u").join(least, "u")
+        large = stage(up.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v"), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = stage(
@@ -122,9 +121,12 @@ def components(edges: DataFrame) -> DataFrame:
         unstage(pairs)
         unstage(large)
         pairs = small
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
-            break
-        mark = tuple(now)
-    roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _is_forest_of_stars(pairs: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u."""
+    ends = pairs.select("u", F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(pairs.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    met = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return met.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,12 +27,12 @@ SMOOTHING = 0.1
 UNKNOWN = "und"
 #: Start of a word, the sign that the vocabulary uses for it.
 SPACE = "▁"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case words between white space, in composed form."""
-    return unicodedata.normalize("NFC", text).lower().split()
+    """Lower-case runs of letters, in composed form."""
+    return _LETTERS.findall(unicodedata.normalize("NFC", text).lower())
 
 
 def is_held_out(key: Column) -> Column:
@@ -41,110 +41,142 @@ def is_held_out(key: Column) -> Column:
 
 
 class Pieces:
-    """A fixed public vocabulary; characters outside it are spelled by byte pieces."""
+    """A fixed public vocabulary; characters outside it are spelled by byte pieces.
+
+    A character that has to be spelled gets an arc of its own, numbered behind the vocabulary.
+    """
 
     def __init__(self, path: str) -> None:
         model = SentencePieceProcessor(model_file=path)
-        self.ids: dict[str, int] = {}
+        self.size = model.get_piece_size()
         self.bytes = [0] * 256
-        for i in range(model.get_piece_size()):
+        #: Number of a piece; -1 for what only starts one.
+        self.table: dict[str, int] = {}
+        for i in range(self.size):
+            piece = model.id_to_piece(i)
             if model.is_byte(i):
-                self.bytes[int(model.id_to_piece(i)[1:-1], 16)] = i
-            elif not model.is_control(i) and not model.is_unknown(i):
-                piece = model.id_to_piece(i)
-                if SPACE not in piece[1:]:
-                    self.ids[piece] = i
-        self.size = model.get_piece_size()
-        self.longest = max(map(len, self.ids))
-
-    def arcs(self, word: str) -> list[list[tuple[int, tuple[int, ...]]]]:
-        """By end position: (start, pieces) of every piece that ends there.
-
-        The word begins with the sign of a space, since no piece reaches over one.
-        """
-        text, ids = SPACE + word, self.ids
-        out = []
-        for end in range(1, len(text) + 1):
-            here = [
-                (start, (ids[text[start:end]],)) for start in range(max(0, end - self.longest), end) if text[start:end] in ids
-            ]
-            if not here or here[-1][0] != end - 1:  # the single character is none
-                here.append((end - 1, tuple(self.bytes[b] for b in text[end - 1].encode())))
-            out.append(here)
-        return out
-
-
-def word_logs(arcs: list[list[tuple[int, tuple[int, ...]]]], p: np.ndarray) -> np.ndarray:
-    """Log of the sum over all segmentations of one word, by language."""
-    logs = [np.zeros(p.shape[1])]
-    for here in arcs:
-        total = np.zeros(p.shape[1])
-        for start, pieces in here:
-            total += p[list(pieces)].prod(axis=0) * np.exp(logs[start] - logs[-1])
-        logs.append(logs[-1] + np.log(total))
-    return logs[-1]
+                self.bytes[int(piece[1:-1], 16)] = i
+            elif not model.is_control(i) and not model.is_unknown(i) and SPACE not in piece[1:]:
+                self.table[piece] = i
+                for end in range(1, len(piece)):
+                    self.table.setdefault(piece[:end], -1)
+
+    def arcs(self, words: list[str]) -> "Arcs":
+        """All ways to cut the words, each behind the sign of a space, which no piece reaches over."""
+        table, get = self.table, self.table.get
+        word, start, end, piece = [], [], [], []
+        spelled: dict[str, int] = {}
+        for w, text in enumerate(words):
+            text = SPACE + text
+            n = len(text)
+            for s in range(n):
+                if table.get(text[s], -1) < 0:
+                    word.append(w)
+                    start.append(s)
+                    end.append(s + 1)
+                    piece.append(spelled.setdefault(text[s], self.size + len(spelled)))
+                for e in range(s + 1, n + 1):
+                    i = get(text[s:e])
+                    if i is None:
+                        break
+                    if i >= 0:
+                        word.append(w)
+                        start.append(s)
+                        end.append(e)
+                        piece.append(i)
+        columns = [np.array(c, "int64") for c in (word, start, end, piece)]
+        lengths = np.array([len(w) + 1 for w in words], "int64")
+        return Arcs(*columns, lengths, [[self.bytes[b] for b in c.encode()] for c in spelled])
+
+
+@dataclass
+class Arcs:
+    """Pieces that cover characters start to end of a word; `spelled` are those of several byte pieces."""
+
+    word: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    piece: np.ndarray
+    lengths: np.ndarray
+    spelled: list[list[int]]
+
+    def weights(self, p: np.ndarray) -> np.ndarray:
+        if not self.spelled:
+            return p[self.piece]
+        return np.concatenate([p, np.array([p[ids].prod(axis=0) for ids in self.spelled])])[self.piece]
+
+    def by(self, position: np.ndarray) -> list[np.ndarray]:
+        """Arcs by a position, in order of the words."""
+        order = np.lexsort((self.word, position))
+        return np.split(order, np.searchsorted(position[order], np.arange(1, self.lengths.max(initial=0) + 1)))
+
+
+def _summed(words: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by word; the words are in order."""
+    first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+    return words[first], np.add.reduceat(values, first, axis=0)
+
+
+def forward(arcs: Arcs, weights: np.ndarray) -> np.ndarray:
+    """Log of the sum over all segmentations of every prefix, by word, position and language.
+
+    All words go from position to position together.
+    """
+    logs = np.zeros((len(arcs.lengths), arcs.lengths.max(initial=0) + 1, weights.shape[1]))
+    for at, chosen in enumerate(arcs.by(arcs.end)):
+        if len(chosen):
+            w, s = arcs.word[chosen], arcs.start[chosen]
+            terms = weights[chosen] * np.exp(logs[w, s] - logs[w, at - 1])
+            who, total = _summed(w, terms)
+            logs[who, at] = logs[who, at - 1] + np.log(total)
+    return logs
+
+
+def _by_length(words: list[str], most: int = 1 << 18) -> Iterator[np.ndarray]:
+    """Indices of words of like length, so that tables of words by positions stay small."""
+    lengths = np.array([len(w) + 1 for w in words], "int64")
+    order = np.argsort(lengths, kind="stable")
+    start = 0
+    while start < len(order):
+        end = start + 1
+        limit = 2 * lengths[order[start]] + 8
+        while end < len(order) and lengths[order[end]] <= limit and (end - start) * limit < most:
+            end += 1
+        yield order[start:end]
+        start = end
 
 
 def word_scores(words: list[str], pieces: Pieces, p: np.ndarray) -> np.ndarray:
-    """Log probability of every word by language: the forward sum over all its segmentations.
-
-    Words of equal length go through the positions together.
-    """
+    """Log probability of every word by language: the forward sum over all its segmentations."""
     out = np.zeros((len(words), p.shape[1]))
-    by_length: dict[int, list[int]] = {}
-    for i, word in enumerate(words):
-        by_length.setdefault(len(word), []).append(i)
-    wide, ids, none = np.vstack([p, np.zeros(p.shape[1])]), pieces.ids, len(p)
-    for n, chosen in by_length.items():
-        if n > 64 or len(chosen) < 4:
-            for i in chosen:
-                out[i] = word_logs(pieces.arcs(words[i]), p)
-            continue
-        texts = [SPACE + words[i] for i in chosen]
-        logs = [np.zeros((len(chosen), p.shape[1]))]
-        for end in range(1, n + 2):
-            total = np.zeros_like(logs[0])
-            for start in range(max(0, end - pieces.longest), end):
-                found = np.array([ids.get(t[start:end], none) for t in texts])
-                if (found != none).any():
-                    total += wide[found] * np.exp(logs[start] - logs[end - 1])
-            for row in np.flatnonzero(found == none):  # of the last start: the single character is no piece
-                spelled = [pieces.bytes[b] for b in texts[row][end - 1].encode()]
-                total[row] += p[spelled].prod(axis=0)
-            logs.append(logs[end - 1] + np.log(total))
-        out[chosen] = logs[-1]
+    for chosen in _by_length(words):
+        arcs = pieces.arcs([words[i] for i in chosen])
+        logs = forward(arcs, arcs.weights(p))
+        out[chosen] = logs[np.arange(len(chosen)), arcs.lengths]
     return out
 
 
 def expected(words: list[str], counts: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
     """Expected uses of every piece in the words of one language, over all segmentations."""
     uses = np.zeros(pieces.size)
-    for word, count in zip(words, counts, strict=True):
-        arcs = pieces.arcs(word)
-        weights = [[float(p[ids[0]]) if len(ids) == 1 else math.prod(float(p[i]) for i in ids) for _, ids in here] for here in arcs]
-        alpha, scale = [1.0], []
-        for here, w in zip(arcs, weights, strict=True):
-            # every prefix sum is divided by its own scale; a start k back carries k scales
-            total, back, carried = 0.0, len(alpha) - 1, 1.0
-            for (start, _), x in zip(reversed(here), reversed(w), strict=True):
-                while back > start:
-                    back -= 1
-                    carried /= scale[back]
-                total += alpha[start] * x * carried
-            scale.append(total)
-            alpha.append(1.0)
-        beta = [0.0] * len(alpha)
-        beta[-1] = 1.0
-        for end in range(len(arcs), 0, -1):
-            back, carried = end, 1.0
-            for (start, ids), x in zip(reversed(arcs[end - 1]), reversed(weights[end - 1]), strict=True):
-                while back > start:
-                    back -= 1
-                    carried /= scale[back]
-                part = x * carried * beta[end]
-                beta[start] += part
-                for i in ids:
-                    uses[i] += count * part
+    for chosen in _by_length(words):
+        arcs = pieces.arcs([words[i] for i in chosen])
+        weights = arcs.weights(p[:, None])
+        logs = forward(arcs, weights)[:, :, 0]
+        # the share of a word's segmentations that pass a position, from the last one back
+        passing = np.zeros_like(logs)
+        passing[np.arange(len(chosen)), arcs.lengths] = 1.0
+        share = np.zeros(len(arcs.word))
+        for at, some in reversed(list(enumerate(arcs.by(arcs.end)))):
+            if len(some):
+                w, s = arcs.word[some], arcs.start[some]
+                share[some] = weights[some, 0] * np.exp(logs[w, s] - logs[w, at]) * passing[w, at]
+                np.add.at(passing, (w, s), share[some])
+        share *= counts[chosen][arcs.word]
+        own = np.bincount(arcs.piece, share, pieces.size + len(arcs.spelled))
+        uses += own[: pieces.size]
+        for ids, use in zip(arcs.spelled, own[pieces.size :], strict=True):
+            np.add.at(uses, ids, use)
     return uses
 
 
@@ -214,7 +246,7 @@ def predicted(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str,
         if not langs:
             return [(UNKNOWN, 0.0)] * len(texts)
         own = _cache(token, vocabulary, shared)
-        split = [words_of(t) if _LETTER.search(t) else [] for t in texts]
+        split = [words_of(t) for t in texts]
         own.add({w for words in split for w in words})
         rows = []
         for words in split:

@@ -144,7 +144,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             ]
             yield batch.select(["a", "b"]).take(pa.array(good, "int64"))
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(measure, "a binary, b binary").distinct()
+    return bounded(pairs).join(left, "a").join(right, "b").mapInArrow(measure, "a binary, b binary")
+
+
+def _with_root(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """`rows` with the root of their name, which is the name itself where no label says otherwise."""
+    if labels is None:
+        return rows.withColumn("root", F.col("name"))
+    joined = rows.join(bounded(labels.withColumnRenamed("node", "name")), "name", "left")
+    return joined.withColumn("root", F.coalesce("root", "name"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -157,10 +165,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     those not either: every such document is a class of its own with its own key. A class whose
     keys are all null has a null id.
 
-    Texts that share a band meet in its bucket. A bucket links its members to one of them, not
-    all with all: the first round takes the least name, later ones another member each, only
-    buckets that still hold several classes take part, and rounds go on until one (after the
-    second) adds no link, so links that a first representative misses are found. Buckets are
+    Texts that share a band meet in its bucket. A bucket links its members to two of them, not
+    all with all: the one of the least name and another one each round. Only buckets that still
+    hold several classes take part, and rounds go on until one adds no link, so links that a first
+    representative misses are found. Buckets are
     counted with partial aggregates and joined back on the bucket, which adaptive execution splits.
     Every candidate is verified on whole shingle sets, which are kept for candidates only.
     """
@@ -177,45 +185,39 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     mine = (F.col("p.name") == F.col("c.name")) & F.col("p.k").eqNullSafe(F.col("c.k"))
     chosen = plain.alias("p").join(bounded(wanted).alias("c"), mine, "left_semi").select("p.t", "p.name")
     sets = stage(_weighted(chosen), "shingles")
-    labels = candidates.select(F.col("name").alias("node"), F.col("name").alias("root"))
-    links = tested = None
+    labels = tested = None
     turn = 0
     while True:
-        labelled = members.join(labels.withColumnRenamed("node", "name"), "name")
-        labelled = stage(labelled, "labelled")
-        order = F.col("name") if turn == 0 else F.unhex(F.md5(F.concat("name", F.lit(str(turn)).cast("binary"))))
-        heads = labelled.groupBy("band").agg(
-            F.min_by(F.struct("name", "root"), order).alias("head"), F.min("root").alias("low"), F.max("root").alias("high")
-        )
-        heads = stage(heads.where(F.col("low") != F.col("high")).select("band", "head"), "heads")
-        met = labelled.join(heads, "band").where(F.col("root") != F.col("head.root"))
-        ends = [F.least("name", "head.name").alias("a"), F.greatest("name", "head.name").alias("b")]
-        pairs = met.select(*ends).distinct()
+        labelled = _with_root(members, labels)
+        least = F.min_by(F.struct("name", "root"), F.col("name"))
+        other = F.min_by(F.struct("name", "root"), F.xxhash64("name", F.lit(turn)))
+        ends = [F.min("root").alias("low"), F.max("root").alias("high")]
+        heads = labelled.groupBy("band").agg(F.array(least, other).alias("heads"), *ends).where(F.col("low") != F.col("high"))
+        heads = stage(heads.select("band", "heads"), "heads")
+        met = labelled.join(bounded(heads), "band").select("name", "root", F.explode("heads").alias("head"))
+        met = met.where(F.col("root") != F.col("head.root"))
+        pairs = met.select(F.least("name", "head.name").alias("a"), F.greatest("name", "head.name").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
         new = stage(_verified(pairs, sets, similarity), "links")
-        unstage(labelled)
         unstage(heads)
-        found = not new.isEmpty()
-        if found:
-            links = new if links is None else links.unionByName(new)
-            roots = components(links)
-            labels = stage(
-                candidates.join(roots.withColumnRenamed("node", "name"), "name", "left").select(
-                    F.col("name").alias("node"), F.coalesce("root", "name").alias("root")
-                ),
-                "labels",
-            )
-        tested = pairs if tested is None else tested.unionByName(pairs)
         turn += 1
-        if not found and turn > 1:
+        if new.isEmpty():
             break
+        ends = new
+        if labels is not None:  # links of classes, not of texts
+            ends = _with_root(_with_root(new.withColumnRenamed("a", "name"), labels).select(F.col("root").alias("a"), F.col("b").alias("name")), labels)
+            ends = ends.select("a", F.col("root").alias("b"))
+        joined = components(ends)
+        if labels is not None:
+            old = _with_root(labels.select(F.col("root").alias("name"), "node"), joined).select("node", "root")
+            joined = old.unionByName(joined.join(labels, "node", "left_anti"))
+        labels = stage(joined, "labels")
+        tested = pairs if tested is None else tested.unionByName(pairs)
     unstage(sets)
     unstage(members)
-    renamed = labels.where("node != root").select(F.col("node").alias("name"), "root")
-    mapped = banded.select("k", "name", F.col("bands").isNull().alias("empty")).join(renamed, "name", "left")
-    mapped = mapped.withColumn("class", F.coalesce("root", "name"))
+    mapped = _with_root(banded.select("k", "name", F.col("bands").isNull().alias("empty")), labels).withColumnRenamed("root", "class")
     sizes = stage(
         mapped.where("NOT empty").groupBy("class").agg(F.min("k").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1"),
         "classes",
