@@ -28,6 +28,23 @@ def prior_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""
+WITH {data.TOUCHES},
+gaps AS (SELECT report_id, file, CASE WHEN report_id % 9 = 0 THEN NULL ELSE report_time END AS report_time FROM touches)
+SELECT t.report_id, t.file, count(p.report_id) AS prior_count, strftime(max(p.report_time), '%Y-%m-%d') AS last_day
+FROM gaps t LEFT JOIN gaps p ON p.file = t.file AND p.report_time < t.report_time
+GROUP BY t.report_id, t.file"""
+)
+def history_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Touches without a time stay, see none before them and are before none."""
+    touched = data.touches(spark, sf_dir)
+    gaps = touched.withColumn("report_time", F.when(F.col("report_id") % 9 != 0, F.col("report_time")))
+    return history.prior_activity(gaps).select(
+        "report_id", "file", "prior_count", F.date_format("last_time", "yyyy-MM-dd").alias("last_day")
+    )
+
+
 @query(
     f"""
 WITH {data.TOUCHES},

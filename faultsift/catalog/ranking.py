@@ -185,6 +185,37 @@ def full_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("project", "query_id", "candidate_id", "rank")
 
 
+@query(
+    f"""
+WITH {data.SCORED},
+gaps AS (
+  SELECT project, query_id, candidate_id, match,
+         CASE WHEN candidate_id % 7 = 0 OR candidate_id % 11 = 0 THEN '-Infinity'::DOUBLE ELSE score END AS score
+  FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS rank FROM gaps),
+steps AS (SELECT query_id, score, count(*) AS n, sum(match) AS p FROM gaps GROUP BY 1, 2),
+cum AS (SELECT *, sum(n) OVER w AS cn, sum(p) OVER w AS cp FROM steps WINDOW w AS (PARTITION BY query_id ORDER BY score DESC)),
+per_query AS (
+  SELECT query_id, sum(n)::BIGINT AS n,
+         round(CASE WHEN sum(p) > 0 THEN sum(p * cp / cn::DOUBLE) / sum(p) ELSE 0 END, 6) AS average_precision
+  FROM cum GROUP BY 1)
+SELECT r.query_id, r.candidate_id, r.rank, r.rank <= 5 AS in_top, u.n, u.average_precision,
+       min(CASE WHEN r.match = 1 THEN r.rank END) OVER (PARTITION BY r.query_id) AS first_rank
+FROM ranked r JOIN per_query u USING (query_id)"""
+)
+def ranking_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rule for candidates without a score or with NaN: they stay and come last."""
+    scored = data.scored(spark, sf_dir)
+    score = F.when(F.col("candidate_id") % 7 == 0, F.lit(None)).when(F.col("candidate_id") % 11 == 0, F.lit(float("nan")))
+    gaps = scored.withColumn("score", score.otherwise(F.col("score")))
+    ranked = ranking.full_ranking(gaps, QUERY, CANDIDATE).select(*QUERY, CANDIDATE, "rank")
+    best = ranking.top_k(gaps, QUERY, CANDIDATE, 5).select(*QUERY, CANDIDATE, F.lit(True).alias("in_top"))
+    first = ranking.first_rank(gaps, QUERY, CANDIDATE).select(*QUERY, "first_rank")
+    precise = ranking.average_precision(gaps, QUERY).select(*QUERY, "n", F.round("average_precision", 6).alias("average_precision"))
+    joined = ranked.join(best, [*QUERY, CANDIDATE], "left").join(first, QUERY).join(precise, QUERY)
+    return joined.withColumn("in_top", F.coalesce("in_top", F.lit(False)))
+
+
 METRICS = f"""
 {PRECISION},
 long AS (

@@ -45,10 +45,12 @@ def prior_activity(touched: DataFrame, asked: DataFrame | None = None) -> DataFr
     """Add prior_count and last_time to touches.
 
     `asked` may hold other rows (report_id, file, report_time) to answer instead; they see the
-    touches before them but are seen by none.
+    touches before them but are seen by none. A row without a file or a time has no earlier
+    touches and is earlier than none.
     """
     time = F.col("report_time")
-    per_time = _axis(touched, asked).groupBy("file", "report_time").agg(F.sum("weight").alias("_n"))
+    timed = _axis(touched, asked).where(time.isNotNull() & F.col("file").isNotNull())
+    per_time = timed.groupBy("file", "report_time").agg(F.sum("weight").alias("_n"))
     before = running(
         per_time,
         ["file"],
@@ -58,7 +60,8 @@ def prior_activity(touched: DataFrame, asked: DataFrame | None = None) -> DataFr
         maxima={"last_time": F.when(F.col("_n") > 0, time)},
         inclusive=False,
     ).drop("_n")
-    return (touched if asked is None else asked).join(before, ["file", "report_time"])
+    rows = (touched if asked is None else asked).join(before, ["file", "report_time"], "left")
+    return rows.withColumn("prior_count", F.coalesce("prior_count", F.lit(0)))
 
 
 def with_last_report(active: DataFrame, touched: DataFrame) -> DataFrame:

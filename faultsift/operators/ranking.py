@@ -3,6 +3,7 @@
 A scored table has one row per (query, candidate) with `score` and `match` (0 or 1). Three tie
 rules occur and are kept apart: hit@k and reciprocal rank break ties by candidate id, average
 precision treats equal scores as one step, the pessimistic rank counts ties against the match.
+A candidate without a score, or with NaN, stays and ranks as the lowest score there is.
 """
 
 from __future__ import annotations
@@ -17,19 +18,25 @@ from faultsift.operators.skew import hot_keys, skew_join
 MAX_K = 20
 
 
+def usable(score: Column) -> Column:
+    """The score, minus infinity for null and NaN."""
+    value = score.cast("double")
+    return F.when(value.isNull() | F.isnan(value), F.lit(float("-inf"))).otherwise(value)
+
+
 def top_k(scored: DataFrame, query: list[str], candidate: str, k: int, score: str = "score") -> DataFrame:
     """The k best candidates per query with their rank, ties by candidate.
 
     Spark limits each group on the map side before the shuffle, so a large group costs k rows per
     task (while k is below spark.sql.optimizer.windowGroupLimitThreshold).
     """
-    order = Window.partitionBy(*query).orderBy(F.desc(score), F.asc(candidate))
+    order = Window.partitionBy(*query).orderBy(usable(F.col(score)).desc(), F.asc(candidate))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def full_ranking(scored: DataFrame, query: list[str], candidate: str) -> DataFrame:
     """All candidates with their rank per query, best first, ties by candidate."""
-    falling = scored.withColumn("_falling", -F.col("score"))
+    falling = scored.withColumn("_falling", -usable(F.col("score")))
     order = [F.col("_falling"), F.col(candidate)]
     ranked = numbered(with_score_block(falling, "_falling"), query, order, F.col("_block"), "rank")
     return ranked.drop("_falling", "_block")
@@ -37,7 +44,7 @@ def full_ranking(scored: DataFrame, query: list[str], candidate: str) -> DataFra
 
 def average_precision(scored: DataFrame, query: list[str], buckets: int | None = None) -> DataFrame:
     """Rows (query, n, positives, average_precision); 0 for a query without a match."""
-    steps = scored.groupBy(*query, "score").agg(
+    steps = scored.withColumn("score", usable(F.col("score"))).groupBy(*query, "score").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("match").cast("bigint").alias("_p")
     )
     blocked = with_score_block(steps, "score", buckets=buckets)
@@ -62,7 +69,7 @@ def first_rank(scored: DataFrame, query: list[str], candidate: str) -> DataFrame
     The rank is one plus the number of candidates ahead of the best match, counted with partial
     aggregates; nothing is sorted.
     """
-    place = F.struct((-F.col("score")).alias("s"), F.col(candidate).alias("c"))
+    place = F.struct((-usable(F.col("score"))).alias("s"), F.col(candidate).alias("c"))
     best = scored.groupBy(*query).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("match").cast("bigint").alias("positives"),
@@ -78,6 +85,7 @@ def first_rank(scored: DataFrame, query: list[str], candidate: str) -> DataFrame
 
 def pessimistic_rank(scored: DataFrame, query: list[str]) -> DataFrame:
     """Rows (query, rank): number of candidates scored at least as high as the one true candidate."""
+    scored = scored.withColumn("score", usable(F.col("score")))
     truth = scored.where(F.col("match") == 1).groupBy(*query).agg(F.max("score").alias("_true"))
     joined = skew_join(scored.select(*query, "score"), truth, query, hot_keys(scored, query))
     return joined.groupBy(*query).agg(F.sum((F.col("score") >= F.col("_true")).cast("bigint")).alias("rank"))
@@ -85,6 +93,7 @@ def pessimistic_rank(scored: DataFrame, query: list[str]) -> DataFrame:
 
 def positive_ranks(scored: DataFrame, query: list[str], candidate: str) -> DataFrame:
     """Rank of every match against the non-matches of its query: 1 + number scored as high or higher."""
+    scored = scored.withColumn("score", usable(F.col("score")))
     steps = scored.groupBy(*query, "score").agg(F.sum((F.col("match") == 0).cast("bigint")).alias("_neg"))
     ahead = running(
         with_score_block(steps, "score"), query, [F.desc("score")], -F.col("_block"), sums={"_ahead": F.col("_neg")}

@@ -33,18 +33,19 @@ def running(
 
     `sums` and `maxima` name new columns; without earlier rows they are 0 and null. With
     `inclusive=False` the current row does not count. `totals` maps the name of a sum to a new
-    column with its total over the group. Keys and bucket must not be null.
+    column with its total over the group. Every row stays: null keys are a group like any other,
+    and rows without a bucket come after all that have one.
     """
     sums, maxima, totals = dict(sums or {}), dict(maxima or {}), dict(totals or {})
-    # The join below asks for these filters; stated here, both of its sides are the same up to
-    # their first shuffle, which then runs once.
-    base = df.withColumn("_bucket", bucket).na.drop(how="any", subset=[*keys, "_bucket"])
+    # One struct, which is never null, names a bucket of a group; windows, totals and the join
+    # below are all dealt by it.
+    base = df.withColumn("_bucket", bucket).withColumn("_place", F.struct(*keys, "_bucket"))
     for name, value in {**sums, **maxima}.items():
         base = base.withColumn(f"_in_{name}", value)
 
     last = 0 if inclusive else -1
     inside = (
-        Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+        Window.partitionBy("_place").orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     )
     rows = base
     for name in sums:
@@ -52,25 +53,24 @@ def running(
     for name in maxima:
         rows = rows.withColumn(name, F.max(f"_in_{name}").over(inside))
 
-    per_bucket = base.groupBy(*keys, "_bucket").agg(
+    per_bucket = base.groupBy("_place").agg(
         *[F.sum(f"_in_{name}").alias(f"_b_{name}") for name in sums],
         *[F.max(f"_in_{name}").alias(f"_b_{name}") for name in maxima],
     )
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*[F.col("_place")[k] for k in keys] or [F.lit(0)])
+    before = group.orderBy(F.asc_nulls_last(F.col("_place._bucket"))).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
-        *keys,
-        "_bucket",
+        "_place",
         (F.count(F.lit(1)).over(before) > 0).alias("_later"),
         *[F.coalesce(F.sum(f"_b_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in sums],
         *[F.max(f"_b_{name}").over(before).alias(f"_o_{name}") for name in maxima],
         *[F.sum(f"_b_{name}").over(group).alias(total) for name, total in totals.items()],
     )
     if totals:
-        out = rows.join(offsets, [*keys, "_bucket"])
+        out = rows.join(offsets, "_place")
     else:
         # A first bucket has nothing before it; most groups have no other.
-        out = rows.join(offsets.where(F.col("_later")), [*keys, "_bucket"], "left")
+        out = rows.join(offsets.where(F.col("_later")), "_place", "left")
     for name in sums:
         out = out.withColumn(name, F.col(name) + F.coalesce(F.col(f"_o_{name}"), F.lit(0)))
     for name in maxima:

@@ -9,26 +9,26 @@ from faultsift.functions import paths, text
 from faultsift.sources import schemas
 
 
-def delimited(spark: SparkSession, path: str | list[str], schema: str, sep: str = ",") -> DataFrame:
-    """Delimited text with a header; quoted fields may span lines, a quote in them is doubled.
+def delimited(spark: SparkSession, path: str | list[str], schema: str, sep: str = ",", multiline: bool = False) -> DataFrame:
+    """Delimited text with a header; a quote in a quoted field is doubled.
 
-    Columns are matched by name, so the file may have more of them in any order.
+    Columns are matched by the names in the header, so files that share a header may have more of
+    them in any order; a missing one is null. Quoted fields span lines only with `multiline`,
+    which reads a file in one task; without it a large file is split.
     """
-    return (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", True)
-        .option("enforceSchema", False)
-        .schema(schema)
-        .csv(path)
-    )
+    options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multiline}
+    raw = spark.read.options(**options).csv(path)
+    wanted = spark.createDataFrame([], schema).schema
+    typed = [
+        (F.col(f"`{f.name}`").cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in wanted
+    ]
+    return raw.select(*typed)
 
 
-def as_text(spark: SparkSession, path: str, columns: list[str], sep: str = ",") -> DataFrame:
+def as_text(spark: SparkSession, path: str, columns: list[str], sep: str = ",", multiline: bool = False) -> DataFrame:
     """Delimited text with every column as a string."""
-    return delimited(spark, path, ", ".join(f"`{c}` string" for c in columns), sep)
+    return delimited(spark, path, ", ".join(f"`{c}` string" for c in columns), sep, multiline)
 
 
 def parsed_reports(raw: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def parsed_reports(raw: DataFrame) -> DataFrame:
 
 def reports(spark: SparkSession, path: str, project: str | None = None) -> DataFrame:
     """Bug reports from tab separated text."""
-    out = parsed_reports(delimited(spark, path, schemas.REPORT_FILE, "\t"))
+    out = parsed_reports(delimited(spark, path, schemas.REPORT_FILE, "\t", multiline=True))
     return out if project is None else out.withColumn("project_name", F.lit(project))
 
 

@@ -211,3 +211,10 @@ def test_word_vectors(spark):
     assert set(vectors) == {"a", "b", "c"}
     doc = models.document_vectors(model, corpus).first().vector
     assert all(math.isclose(d, sum(v[i] for v in vectors.values()) / 3, abs_tol=1e-6) for i, d in enumerate(doc))
+
+
+def test_delimited_text_is_matched_by_name(spark, tmp_path):
+    file = tmp_path / "f.csv"
+    file.write_text("extra,score,name\nx,1.5,a\ny,,b\n")
+    got = readers.delimited(spark, str(file), "name string, score double, other int")
+    assert [tuple(r) for r in got.collect()] == [("a", 1.5, None), ("b", None, None)]
