@@ -54,8 +54,10 @@ def signature(elements: np.ndarray, weights: np.ndarray, m: int = BANDS * ROWS)
     Every element arrives by a Poisson process whose rate is its weight, each time at a random
     component. Two sets agree in a component with the probability that is their probability
     Jaccard similarity. Arrivals are drawn from the element's hash, several of each element at a
-    time; an element stops when its next arrival is later than every component's first.
+    time; an element stops when its next arrival is later than every component's first. The place
+    of an arrival comes from 11 bits, so `m` is 2048 at most.
     """
+    assert m <= 2048
     first, at = np.full(m, np.inf), np.zeros(m, "uint64")
     active, rates = elements, weights.astype("float64")
     time, drawn = np.zeros(len(elements)), 0
