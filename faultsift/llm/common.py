@@ -40,6 +40,27 @@ class WordCache(dict):
         self.update(zip(new, self.compute(new), strict=True))
 
 
+class LookupCache(dict):
+    """Values by word, each computed where it is looked up first; at most twice `limit` are held.
+
+    When `limit` are there they become the older half, from which later lookups take them back.
+    """
+
+    def __init__(self, compute: Callable[[str], bytes], limit: int) -> None:
+        super().__init__()
+        self.compute, self.limit, self.older = compute, limit, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        value = self.older.get(word)
+        if value is None:
+            value = self.compute(word)
+        self[word] = value
+        return value
+
+
 def blocks(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about `most` characters, one text at least."""
     start, size = 0, 0

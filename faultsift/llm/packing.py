@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from faultsift.llm.common import WordCache, by_document
+from faultsift.llm.common import LookupCache, by_document
 from faultsift.session import stage
 
 CAPACITY = 2048
@@ -28,43 +29,38 @@ class WordEncoder:
     """Ids of texts as packed little-endian unsigned 32-bit numbers.
 
     The tokenizer never joins what a space or line break separates, so a text's ids are those of
-    its parts in order. Parts met for the first time are encoded together and kept in a cache of
-    bounded size. Of an ASCII word and the stops behind it each is encoded once, in lower case, as
-    the tokenizer lowers case and splits there itself.
+    its parts in order. Each part is encoded when it is met first and kept in a cache of bounded
+    size. A part of plain ASCII signs and Latin letters is cut here as the tokenizer cuts it (runs
+    of letters, single digits, runs of other signs, all in lower case) and only its atoms go
+    through the model; any other part goes through the whole tokenizer.
     """
 
-    WORD = re.compile(r"([A-Za-z]+)([.,!?;:]*)")
+    PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    ATOM = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache = WordCache(self._parts, 700_000)
-        self.atoms = WordCache(self._encoded, 500_000)
-
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        split = []
-        for part in parts:
-            word = self.WORD.fullmatch(part)
-            split.append((word[1].lower(), word[2]) if word else (part,))
-        self.atoms.add({atom for atoms in split for atom in atoms})
-        return [b"".join(map(self.atoms.__getitem__, atoms)) for atoms in split]
-
-    def _encoded(self, parts: list[str]) -> list[bytes]:
-        out = []
-        for start in range(0, len(parts), 2_000):
-            some = parts[start : start + 2_000]
-            encoded = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            data = np.array(encoded.ids, "<u4").tobytes()
-            edges = np.searchsorted(np.array(encoded.word_ids, "int64"), np.arange(len(some) + 1)).tolist()
-            out.extend(data[4 * a : 4 * b] for a, b in zip(edges, edges[1:], strict=False))
-        return out
+        self.model = self.tokenizer.model
+        # the byte alphabet: printable bytes stand for themselves, the others follow from 256 on
+        itself = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(itself)))}
+        self.parts = LookupCache(self._part, 700_000)
+        self.atoms = LookupCache(self._atom, 500_000)
+
+    def _atom(self, atom: str) -> bytes:
+        by_byte = atom if atom.isascii() else atom.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [token.id for token in self.model.tokenize(by_byte)]).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        if self.PLAIN.fullmatch(part):
+            return b"".join(map(self.atoms.__getitem__, self.ATOM.findall(part.lower())))
+        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes() if part else b""
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        self.cache.add({part for parts in split for part in parts})
-        for parts in split:
-            yield b"".join(map(self.cache.__getitem__, parts))
+        for text in texts:
+            yield b"".join(map(self.parts.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
