@@ -17,6 +17,8 @@ WORDS = 5
 SIMILARITY = 0.8
 #: BANDS x ROWS components. At a similarity of 0.8 two texts share no band once in 200,000 pairs.
 BANDS, ROWS = 40, 6
+#: Distinct texts up to which a bucket is tested whole at the end.
+SMALL = 32
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -169,8 +171,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
     Texts that share a band meet in its bucket. A bucket links its members to two of them, not
     all with all: the one of the least name and another one each round. Only buckets that still
-    hold several classes take part, and rounds go on until one adds no link, so links that a first
-    representative misses are found. Buckets are
+    hold several classes take part, and rounds go on until one adds no link. Then buckets of at most
+    SMALL texts that still hold several classes link all of their members; where that finds a link
+    the rounds start again. Buckets are
     counted with partial aggregates and joined back on the bucket, which adaptive execution splits.
     Every candidate is verified on whole shingle sets, which are kept for candidates only.
     """
@@ -178,7 +181,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     banded = stage(_banded(plain), "bands")
     texts = banded.where("bands IS NOT NULL").groupBy("name").agg(F.first("bands").alias("bands"), F.min("k").alias("k"))
     opened = stage(texts.select("name", F.explode("bands").alias("band")), "bands")
-    shared = opened.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    shared = opened.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = stage(opened.join(stage(shared, "shared"), "band"), "buckets")
     unstage(opened)
     candidates = stage(members.select("name").distinct(), "candidates")
@@ -188,13 +191,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     chosen = plain.alias("p").join(bounded(wanted).alias("c"), mine, "left_semi").select("p.t", "p.name")
     sets = stage(_weighted(chosen), "shingles")
     labels = tested = None
-    turn = 0
+    turn, whole = 0, False
     while True:
         labelled = _with_root(members, labels)
         least = F.min_by(F.struct("name", "root"), F.col("name"))
         other = F.min_by(F.struct("name", "root"), F.xxhash64("name", F.lit(turn)))
         ends = [F.min("root").alias("low"), F.max("root").alias("high")]
-        heads = labelled.groupBy("band").agg(F.array(least, other).alias("heads"), *ends).where(F.col("low") != F.col("high"))
+        chosen_heads, among = F.array(least, other), labelled
+        if whole:
+            chosen_heads, among = F.collect_list(F.struct("name", "root")), labelled.where(F.col("n") <= SMALL)
+        heads = among.groupBy("band").agg(chosen_heads.alias("heads"), *ends).where(F.col("low") != F.col("high"))
         heads = stage(heads.select("band", "heads"), "heads")
         met = labelled.join(bounded(heads), "band").select("name", "root", F.explode("heads").alias("head"))
         met = met.where(F.col("root") != F.col("head.root"))
@@ -204,9 +210,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
         pairs = stage(pairs, "pairs")
         new = stage(_verified(pairs, sets, similarity), "links")
         unstage(heads)
+        tested = pairs if tested is None else tested.unionByName(pairs)
         turn += 1
         if new.isEmpty():
-            break
+            if whole:
+                break
+            whole = True
+            continue
+        whole = False
         ends = new
         if labels is not None:  # links of classes, not of texts
             ends = _with_root(_with_root(new.withColumnRenamed("a", "name"), labels).select(F.col("root").alias("a"), F.col("b").alias("name")), labels)
@@ -216,7 +227,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
             old = _with_root(labels.select(F.col("root").alias("name"), "node"), joined).select("node", "root")
             joined = old.unionByName(joined.join(labels, "node", "left_anti"))
         labels = stage(joined, "labels")
-        tested = pairs if tested is None else tested.unionByName(pairs)
     unstage(sets)
     unstage(members)
     mapped = _with_root(banded.select("k", "name", F.col("bands").isNull().alias("empty")), labels).withColumnRenamed("root", "class")

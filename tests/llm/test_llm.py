@@ -321,3 +321,13 @@ def test_pipeline(spark, sf_dir, awkward, empty):
             out = function(spark, docs, sf_dir)
             assert out.columns == list(corpus_pipeline.COLUMNS)
             out.collect()
+
+
+def test_small_buckets_are_tested_whole(spark, monkeypatch):
+    """Where all texts meet in one bucket, every link between them is found."""
+    monkeypatch.setattr(probminhash, "bands", lambda signed: np.zeros(1, "int64"))
+    texts = [words(100 + i, 80) for i in range(24)]
+    near = [f"{t} {words(900 + i, 2)}" for i, t in enumerate(texts[:5])]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + near)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in probminhash.near_duplicates(docs).collect()}
+    assert got == {i: i if i < 24 else i - 24 for i in range(29)}
