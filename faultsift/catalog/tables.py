@@ -235,21 +235,24 @@ def missing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
 WITH {data.REPORTS}, m AS (
-  SELECT report_id, s.data_setting, CASE WHEN s.own THEN CASE WHEN year(report_time) < 2000 THEN 'train' ELSE 'test' END
-         ELSE CASE WHEN project_name = '1-URGENT' THEN 'test' ELSE 'train' END END AS split, project_name, raw_text
-  FROM reports, (VALUES ('within_project', true), ('cross_project', false)) s(data_setting, own))
+  SELECT report_id, 'within_project' AS data_setting, CASE WHEN year(report_time) < 2000 THEN 'train' ELSE 'test' END AS split, project_name, raw_text FROM reports
+  UNION ALL SELECT report_id, 'cross_project', CASE WHEN project_name = '1-URGENT' THEN 'test' ELSE 'train' END, project_name, raw_text FROM reports
+  UNION ALL SELECT report_id, 'cross_project_and_within_project',
+         CASE WHEN project_name = '1-URGENT' AND year(report_time) >= 2000 THEN 'test' ELSE 'train' END, project_name, raw_text FROM reports)
 SELECT data_setting, split, project_name, count(*) AS n, sum(length(raw_text))::BIGINT AS chars FROM m GROUP BY ALL"""
 )
 def split_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports of two data settings by split, from a membership table."""
+    """Reports of the three data settings by split, from a membership table."""
     reports = data.reports(spark, sf_dir).select(
         F.col("report_id").alias("bug_id"), F.year("report_time").alias("commit"), "project_name", "raw_text"
     )
     within = F.when(F.col("commit") < 2000, "train").otherwise("test")
     cross = F.when(F.col("project_name") == "1-URGENT", "test").otherwise("train")
+    both = F.when((cross == "test") & (within == "test"), "test").otherwise("train")
     settings = F.array(
         F.struct(F.lit("within_project").alias("data_setting"), within.alias("split")),
         F.struct(F.lit("cross_project").alias("data_setting"), cross.alias("split")),
+        F.struct(F.lit("cross_project_and_within_project").alias("data_setting"), both.alias("split")),
     )
     membership = reports.select("bug_id", "commit", "project_name", F.inline(settings))
     split = datasets.split_reports(reports, membership)
@@ -266,16 +269,16 @@ pos AS (SELECT report_id, row_number() OVER (ORDER BY report_id, l_linenumber, c
 train AS (SELECT DISTINCT report_id FROM pos WHERE rn <= n - ceil(0.4 * n)),
 rows AS (SELECT *, row_number() OVER (PARTITION BY report_id, match ORDER BY report_id, l_linenumber, cid, l_suppkey) AS rn
          FROM full_set WHERE report_id IN (SELECT report_id FROM train))
-SELECT report_id AS id, cid, md5(raw_text) AS report, md5(file_content) AS file_content, match FROM rows WHERE match = 1 OR rn <= 2"""
+SELECT report_id AS id, cid, md5(raw_text) AS report, md5(file_content) AS file_content, match FROM rows WHERE match = 1 OR rn <= 10"""
 )
 def small_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training rows of an ordered split with two non-matches per bug."""
+    """Training rows of an ordered split with ten non-matches per bug."""
     reports = data.reports(spark, sf_dir).select(
         F.col("report_id").alias("id"), F.col("report_id").alias("bug_id"), "project_name",
         F.col("raw_text").alias("summary"), F.lit("").alias("description"),
     )
     order = [F.col(c) for c in ("report_id", "l_linenumber", "cid", "l_suppkey")]
     out = datasets.small_training_set(
-        reports, _candidates(spark, sf_dir), _contents(spark, sf_dir), order, id_block(F.col("report_id")), negatives=2
+        reports, _candidates(spark, sf_dir), _contents(spark, sf_dir), order, id_block(F.col("report_id")), negatives=10
     )
     return out.withColumns({"report": F.md5("report"), "file_content": F.md5("file_content")})

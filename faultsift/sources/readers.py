@@ -67,12 +67,18 @@ def source_tree(spark: SparkSession, root: str, suffix: str = ".java") -> DataFr
 
 
 def keyed_text(spark: SparkSession, path: str) -> DataFrame:
-    """Lines `id TAB text`, cut at the first tab: (id, text). Lines without a tab are left out."""
+    """Lines `id TAB text`, cut at the first tab: (id, text). `unkeyed_text` has the other lines."""
     parts = F.split("value", "\t", 2)
     lines = spark.read.text(path).where(F.contains("value", F.lit("\t")))
     return lines.select(parts[0].alias("id"), parts[1].alias("text"))
 
 
+def unkeyed_text(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that `keyed_text` leaves out as they have no tab: (line)."""
+    lines = spark.read.text(path).where(~F.contains("value", F.lit("\t")))
+    return lines.select(F.col("value").alias("line"))
+
+
 def table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

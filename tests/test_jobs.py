@@ -67,6 +67,7 @@ def test_text_tables(spark, tmp_path):
     lines = tmp_path / "lines.txt"
     lines.write_text("1\tint a\tb\n2\tx\nno tab\n")
     assert rows(readers.keyed_text(spark, str(lines)), "id", "text") == [("1", "int a\tb"), ("2", "x")]
+    assert [r.line for r in readers.unkeyed_text(spark, str(lines)).collect()] == ["no tab"]
     table = tmp_path / "t.csv"
     table.write_text("b,a\n1,x\n")
     assert readers.as_text(spark, str(table), ["b", "a"]).first().asDict() == {"b": "1", "a": "x"}
