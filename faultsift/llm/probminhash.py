@@ -17,8 +17,9 @@ WORDS = 5
 SIMILARITY = 0.8
 #: BANDS x ROWS components. At a similarity of 0.8 two texts share no band once in 200,000 pairs.
 BANDS, ROWS = 40, 6
-#: Distinct texts up to which a bucket is tested whole at the end.
-SMALL = 32
+#: Distinct texts up to which a bucket is tested whole, and the members that all others of a larger
+#: one are tested against in a round.
+SMALL, HEADS = 32, 4
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -148,7 +149,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             ]
             yield batch.select(["a", "b"]).take(pa.array(good, "int64"))
 
-    return bounded(pairs).join(left, "a").join(right, "b").mapInArrow(measure, "a binary, b binary")
+    few = bounded(pairs)
+    if few is not pairs:  # only the sets that pairs name are shuffled
+        right = right.join(F.broadcast(pairs.select("b")), "b", "left_semi")
+    return few.join(left, "a").join(right, "b").mapInArrow(measure, "a binary, b binary")
 
 
 def _with_root(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -159,6 +163,22 @@ def _with_root(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return joined.withColumn("root", F.coalesce("root", "name"))
 
 
+def _heads(labelled: DataFrame, turn: int) -> DataFrame:
+    """(band, heads) of the buckets that hold several classes: the members all others are tested against.
+
+    Round 0: the one of the least name and another. Round 1: every member of a bucket of at most
+    SMALL texts, HEADS members of a larger one. Later rounds: HEADS other members of the larger ones.
+    """
+    one = F.struct("name", "root")
+    others = [F.min_by(one, F.xxhash64("name", F.lit(turn * HEADS + i))) for i in range(HEADS if turn else 1)]
+    heads = F.array(F.min_by(one, F.col("name")), *others)
+    if turn == 1:
+        heads = F.when(F.max("n") <= SMALL, F.collect_list(F.when(F.col("n") <= SMALL, one))).otherwise(heads)
+    among = labelled.where(F.col("n") > SMALL) if turn > 1 else labelled
+    found = among.groupBy("band").agg(heads.alias("heads"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return found.where(F.col("low") != F.col("high")).select("band", "heads")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """(key, copy, class_id, class_size) of every document.
 
@@ -169,11 +189,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     those not either: every such document is a class of its own with its own key. A class whose
     keys are all null has a null id.
 
-    Texts that share a band meet in its bucket. A bucket links its members to two of them, not
-    all with all: the one of the least name and another one each round. Only buckets that still
-    hold several classes take part, and rounds go on until one adds no link. Then buckets of at most
-    SMALL texts that still hold several classes link all of their members; where that finds a link
-    the rounds start again. Buckets are
+    Texts that share a band meet in its bucket. Round 0 links the members of a bucket to two of
+    them, not all with all. Buckets that hold several classes after it go on: those of at most SMALL
+    texts link all of their members in round 1, so that none of their links is missed; larger ones
+    link their members to HEADS of them a round, until a round adds no link. Buckets are
     counted with partial aggregates and joined back on the bucket, which adaptive execution splits.
     Every candidate is verified on whole shingle sets, which are kept for candidates only.
     """
@@ -191,17 +210,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     chosen = plain.alias("p").join(bounded(wanted).alias("c"), mine, "left_semi").select("p.t", "p.name")
     sets = stage(_weighted(chosen), "shingles")
     labels = tested = None
-    turn, whole = 0, False
+    turn = 0
     while True:
         labelled = _with_root(members, labels)
-        least = F.min_by(F.struct("name", "root"), F.col("name"))
-        other = F.min_by(F.struct("name", "root"), F.xxhash64("name", F.lit(turn)))
-        ends = [F.min("root").alias("low"), F.max("root").alias("high")]
-        chosen_heads, among = F.array(least, other), labelled
-        if whole:
-            chosen_heads, among = F.collect_list(F.struct("name", "root")), labelled.where(F.col("n") <= SMALL)
-        heads = among.groupBy("band").agg(chosen_heads.alias("heads"), *ends).where(F.col("low") != F.col("high"))
-        heads = stage(heads.select("band", "heads"), "heads")
+        heads = stage(_heads(labelled, turn), "heads")
+        if heads.isEmpty():
+            break
         met = labelled.join(bounded(heads), "band").select("name", "root", F.explode("heads").alias("head"))
         met = met.where(F.col("root") != F.col("head.root"))
         pairs = met.select(F.least("name", "head.name").alias("a"), F.greatest("name", "head.name").alias("b")).distinct()
@@ -213,11 +227,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
         tested = pairs if tested is None else tested.unionByName(pairs)
         turn += 1
         if new.isEmpty():
-            if whole:
+            if turn > 1:
                 break
-            whole = True
             continue
-        whole = False
         ends = new
         if labels is not None:  # links of classes, not of texts
             ends = _with_root(_with_root(new.withColumnRenamed("a", "name"), labels).select(F.col("root").alias("a"), F.col("b").alias("name")), labels)
