@@ -17,9 +17,9 @@ WORDS = 5
 SIMILARITY = 0.8
 #: BANDS x ROWS components. At a similarity of 0.8 two texts share no band once in 200,000 pairs.
 BANDS, ROWS = 40, 6
-#: Distinct texts up to which a bucket is tested whole, and the members that all others of a larger
-#: one are tested against in a round.
-SMALL, HEADS = 32, 4
+#: Distinct texts up to which a bucket is tested whole, and the mean number of members that all others
+#: of a larger one are tested against in round 1; every round doubles it, up to MOST_HEADS.
+SMALL, HEADS, MOST_HEADS = 32, 4, 64
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -167,13 +167,15 @@ def _heads(labelled: DataFrame, turn: int) -> DataFrame:
     """(band, heads) of the buckets that hold several classes: the members all others are tested against.
 
     Round 0: the one of the least name and another. Round 1: every member of a bucket of at most
-    SMALL texts, HEADS members of a larger one. Later rounds: HEADS other members of the larger ones.
+    SMALL texts, HEADS members of a larger one in the mean, drawn by hash. Later rounds: twice as
+    many as before of the larger ones, MOST_HEADS at most; only pairs of different classes follow.
     """
     one = F.struct("name", "root")
-    others = [F.min_by(one, F.xxhash64("name", F.lit(turn * HEADS + i))) for i in range(HEADS if turn else 1)]
-    heads = F.array(F.min_by(one, F.col("name")), *others)
-    if turn == 1:
-        heads = F.when(F.max("n") <= SMALL, F.collect_list(F.when(F.col("n") <= SMALL, one))).otherwise(heads)
+    if turn == 0:
+        heads = F.array(F.min_by(one, F.col("name")), F.min_by(one, F.xxhash64("name", F.lit(turn))))
+    else:
+        drawn = F.pmod(F.xxhash64("name", "band", F.lit(turn)), F.col("n")) < min(HEADS << (turn - 1), MOST_HEADS)
+        heads = F.collect_list(F.when((F.col("n") <= SMALL) | drawn, one))
     among = labelled.where(F.col("n") > SMALL) if turn > 1 else labelled
     found = among.groupBy("band").agg(heads.alias("heads"), F.min("root").alias("low"), F.max("root").alias("high"))
     return found.where(F.col("low") != F.col("high")).select("band", "heads")
@@ -192,7 +194,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     Texts that share a band meet in its bucket. Round 0 links the members of a bucket to two of
     them, not all with all. Buckets that hold several classes after it go on: those of at most SMALL
     texts link all of their members in round 1, so that none of their links is missed; larger ones
-    link their members to HEADS of them a round, until a round adds no link. Buckets are
+    link their members to ever more of them (see HEADS), until a round adds no link. Buckets are
     counted with partial aggregates and joined back on the bucket, which adaptive execution splits.
     Every candidate is verified on whole shingle sets, which are kept for candidates only.
     """
