@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultsift.llm.common import bounded, by_document, components, digest
@@ -20,6 +20,8 @@ BANDS, ROWS = 40, 6
 #: Distinct texts up to which a bucket is tested whole, and the mean number of members that all others
 #: of a larger one are tested against in round 1; every round doubles it, up to MOST_HEADS.
 SMALL, HEADS, MOST_HEADS = 32, 4, 64
+#: Texts of a group of common prefix shingles that one task pairs with all others of the group.
+PART = 256
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -181,6 +183,61 @@ def _heads(labelled: DataFrame, turn: int) -> DataFrame:
     return found.where(F.col("low") != F.col("high")).select("band", "heads")
 
 
+def _unfinished(labelled: DataFrame) -> DataFrame:
+    """(name, root) of the texts in buckets of more than SMALL texts that hold several classes."""
+    large = labelled.where(F.col("n") > SMALL)
+    open_ones = large.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
+    return large.join(bounded(stage(open_ones, "open")), "band", "left_semi").select("name", "root").distinct()
+
+
+def _prefixed(names: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(element, name, root): the first shingles of every text, rarest first, that other texts hold as well.
+
+    The probability Jaccard similarity of two sets is at most the sum over common elements of the
+    lesser of their two shares, since each term 1 / sum of max(...) is at most either share. So the
+    common elements of two sets of at least `similarity` make up at least that share of each, and
+    cannot all lie behind the elements that take up more than the rest of it: in one order of all
+    elements the first common one is in the prefix of both.
+    """
+    own = sets.join(bounded(names), "name").withColumn("total", F.aggregate("weights", F.lit(0).cast("long"), lambda a, w: a + w))
+    own = own.select("name", "root", "total", F.explode(F.arrays_zip("elements", "weights")).alias("s"))
+    own = stage(own.select("name", "root", "total", F.col("s.elements").alias("element"), F.col("s.weights").alias("weight")), "opened")
+    held = own.groupBy("element").agg(F.count("*").alias("held")).where("held > 1")
+    rated = own.join(held, "element", "left").withColumn("held", F.coalesce("held", F.lit(1)))
+    ahead = Window.partitionBy("name").orderBy("held", "element").rowsBetween(Window.unboundedPreceding, -1)
+    before = rated.withColumn("before", F.coalesce(F.sum("weight").over(ahead), F.lit(0)))
+    within = (F.col("held") > 1) & (F.col("before") <= (1 - similarity + 1e-9) * F.col("total"))
+    prefixes = stage(before.where(within).select("element", "name", "root"), "prefixes")
+    unstage(own)
+    return prefixes
+
+
+def _finished(names: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of texts of different classes, of those named, that can reach `similarity`.
+
+    Texts meet in the group of a shingle of both prefixes. A group is cut into parts of about PART
+    texts; each meets a copy of the whole group, so a large one is spread over tasks.
+    """
+    prefixes = _prefixed(names, sets, similarity)
+    groups = prefixes.groupBy("element").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    groups = stage(groups.where("low != high").select("element", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "groups")
+    met = prefixes.join(bounded(groups), "element")
+    left = met.select("element", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"), F.col("name").alias("a"), F.col("root").alias("ra"))
+    right = met.select("element", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("name").alias("b"), F.col("root").alias("rb"))
+    pairs = left.join(right, ["element", "part"]).where("a < b AND ra != rb")
+    return pairs.select("a", "b").distinct()
+
+
+def _merged(labels: DataFrame | None, new: DataFrame) -> DataFrame:
+    """(node, root) of the classes after the links (a, b) of texts are added."""
+    if labels is None:
+        return stage(components(new), "labels")
+    ends = _with_root(_with_root(new.withColumnRenamed("a", "name"), labels).select(F.col("root").alias("a"), F.col("b").alias("name")), labels)
+    joined = components(ends.select("a", F.col("root").alias("b")))  # links of classes, not of texts
+    old = _with_root(labels.select(F.col("root").alias("name"), "node"), joined).select("node", "root")
+    return stage(old.unionByName(joined.join(labels, "node", "left_anti")), "labels")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """(key, copy, class_id, class_size) of every document.
 
@@ -194,7 +251,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     Texts that share a band meet in its bucket. Round 0 links the members of a bucket to two of
     them, not all with all. Buckets that hold several classes after it go on: those of at most SMALL
     texts link all of their members in round 1, so that none of their links is missed; larger ones
-    link their members to ever more of them (see HEADS), until a round adds no link. Buckets are
+    link their members to ever more of them (see HEADS), until a round adds no link. The texts of
+    larger ones that hold several classes even then meet once more by their rarest shingles, which
+    every pair that reaches `similarity` shares, and all these pairs are tested. Buckets are
     counted with partial aggregates and joined back on the bucket, which adaptive execution splits.
     Every candidate is verified on whole shingle sets, which are kept for candidates only.
     """
@@ -232,15 +291,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
             if turn > 1:
                 break
             continue
-        ends = new
-        if labels is not None:  # links of classes, not of texts
-            ends = _with_root(_with_root(new.withColumnRenamed("a", "name"), labels).select(F.col("root").alias("a"), F.col("b").alias("name")), labels)
-            ends = ends.select("a", F.col("root").alias("b"))
-        joined = components(ends)
-        if labels is not None:
-            old = _with_root(labels.select(F.col("root").alias("name"), "node"), joined).select("node", "root")
-            joined = old.unionByName(joined.join(labels, "node", "left_anti"))
-        labels = stage(joined, "labels")
+        labels = _merged(labels, new)
+    names = stage(_unfinished(_with_root(members, labels)), "unfinished")
+    if not names.isEmpty():
+        pairs = _finished(names, sets, similarity)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        new = stage(_verified(stage(pairs, "pairs"), sets, similarity), "links")
+        if not new.isEmpty():
+            labels = _merged(labels, new)
     unstage(sets)
     unstage(members)
     mapped = _with_root(banded.select("k", "name", F.col("bands").isNull().alias("empty")), labels).withColumnRenamed("root", "class")

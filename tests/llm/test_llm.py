@@ -331,3 +331,15 @@ def test_small_buckets_are_tested_whole(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + near)], "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in probminhash.near_duplicates(docs).collect()}
     assert got == {i: i if i < 24 else i - 24 for i in range(29)}
+
+
+def test_large_buckets_are_finished(spark, monkeypatch):
+    """Several hundred texts in one bucket: links between few of them are found, those at the limit too."""
+    monkeypatch.setattr(probminhash, "bands", lambda signed: np.zeros(1, "int64"))
+    common = words(77, 50)  # every third text holds it, and some repeat it
+    rows = {i: words(100 + i, 81) + f" {common}" * (i % 3 == 0) * (1 + i % 2) for i in range(300)}
+    rows |= {300 + i: f"{rows[10 * i]} {words(900 + i, 2 + i)}" for i in range(30)}
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in probminhash.near_duplicates(docs).collect()}
+    assert got == brute.classes(rows)
+    assert 10 < sum(k != v for k, v in got.items()) < 30
