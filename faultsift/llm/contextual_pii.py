@@ -153,10 +153,11 @@ def _instance(kind: Column, value: Column) -> Column:
 def accepted(found: DataFrame) -> DataFrame:
     """(kind, instance) of the loose candidates that high-confidence contexts identify.
 
-    The base identifiers of `found` (arrays base and loose) are the seeds. A pattern is a kind and
-    a context; it takes part with LEAST_SEEDS distinct seeds. Rounds over the graph of patterns
+    The base identifiers of `found` (arrays base and loose) are the first seeds. A pattern is a kind
+    and a context; it takes part with LEAST_SEEDS distinct seeds. Rounds over the graph of patterns
     and candidates: the confidence of a pattern is the mean score of its distinct instances, where
-    a seed scores 1; the score of a candidate is the chance that not all of its patterns err. All
+    a seed scores 1; the score of a candidate is the chance that not all of its patterns err. What
+    is accepted joins the seeds and patterns are counted anew, until nothing new is accepted. All
     of it is grouped sums and joins of distinct pairs, whatever the frequency of a pattern.
     """
     opened = [
@@ -167,10 +168,25 @@ def accepted(found: DataFrame) -> DataFrame:
     ]
     pairs = opened[0].unionByName(opened[1]).groupBy("kind", "context", "instance").agg(F.max("seed").alias("seed"))
     pairs = stage(pairs, "pairs")
+    fine = None
+    while True:
+        new = stage(_accepted_by(pairs), "accepted")
+        if new.isEmpty():
+            break
+        fine = new if fine is None else fine.unionByName(new)
+        more = pairs.join(bounded(new.withColumn("new", F.lit(1))), ["kind", "instance"], "left")
+        seeded = stage(more.select("kind", "context", "instance", F.coalesce("new", "seed").alias("seed")), "pairs")
+        unstage(pairs)
+        pairs = seeded
+    unstage(pairs)
+    return new if fine is None else fine
+
+
+def _accepted_by(pairs: DataFrame) -> DataFrame:
+    """(kind, instance) of the candidates, no seeds yet, that the seeds of `pairs` identify."""
     patterns = pairs.groupBy("kind", "context").agg(F.sum("seed").alias("seeds"), F.count("*").alias("n"))
     patterns = patterns.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("n") > F.col("seeds")))
     graph = stage(pairs.where("seed = 0").drop("seed").join(patterns, ["kind", "context"]), "graph")
-    unstage(pairs)
     confidence = graph.select("kind", "context", (F.col("seeds") / F.col("n")).alias("c")).distinct()
     scores = None
     for _ in range(ROUNDS):

@@ -343,3 +343,14 @@ def test_large_buckets_are_finished(spark, monkeypatch):
     got = {r.doc_id: r.class_id for r in probminhash.near_duplicates(docs).collect()}
     assert got == brute.classes(rows)
     assert 10 < sum(k != v for k, v in got.items()) < 30
+
+
+def test_accepted_identifiers_are_seeds_of_new_contexts(spark):
+    """A form met only beside accepted identifiers, in no context of a base one, is found in the next generation."""
+    texts = [f"please call me at +1 (234) 555-{1000 + i} now" for i in range(12)]
+    texts += [f"please call me at (234) 555-700{i} now" for i in range(3)]
+    texts += [f"my office line is (234) 555-700{i} today" for i in range(4)]
+    texts += ["version of 123 456 7890 rows"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.n_added for r in contextual_pii.personal_data(docs).collect()}
+    assert got == {i: int(12 <= i < 19) for i in range(20)}
