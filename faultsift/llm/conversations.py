@@ -16,7 +16,7 @@ from faultsift.session import stage
 
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 1, 2, 5, 5
 #: Rows of a stretch of the lattice whose prices converge together.
-STRETCH = 32
+STRETCH = 16
 #: Where the text stands: at the start, behind a system, a user or an assistant turn. Legal ends are
 #: the start and behind an assistant.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -136,22 +136,22 @@ def _auction(codes: str, prices: list[list[int]], first: int, last: int, origin:
 def shortest_edits(codes: str) -> tuple[int, str]:
     """The least cost, and of the edits that have it the letters that come first in ASCII.
 
-    Nodes of the lattice are (row, state). Prices start as what the rows behind cost at least, which no
-    arc contradicts. Stretches of rows are worked off from the end: the auction raises prices until
-    each of the four states has a tight path to the stretch behind, whose prices are distances by
-    then. So work grows with the rows, not with their square. A dual price that converged is a
-    distance, and following the least letter among tight arcs (price = cost + price behind) from the
+    Nodes of the lattice are (row, state). Stretches of rows are worked off from the end. Prices of a
+    stretch start as the least price behind it and what the rows between cost at least, which no
+    arc contradicts; the auction raises them until each of the four states at its start has a tight
+    path to its end. Prices at the start are distances by then. So work grows with the rows, not
+    with their square. Following the least letter among tight arcs (price = cost + price behind) from the
     start gives the edits: as ties went to the least letter in the auction, no such arc leads
     astray. Behind the last row only puts are left, whose prices are known.
     """
     n = len(codes)
     tail = [0, 2 * INSERT, INSERT, 0]  # at the end: done, put u and a, put a, done
-    floor = [0]
-    for code in reversed(codes):
-        floor.append(floor[-1] + LEAST[code])
-    prices = [[floor[n - row]] * 4 for row in range(n)] + [tail]
+    prices: list[list[int]] = [[] for _ in range(n)] + [tail]
     for last in range(n, 0, -STRETCH):
-        first = max(0, last - STRETCH)
+        first, floor = max(0, last - STRETCH), min(prices[last])
+        for row in range(last - 1, first - 1, -1):
+            floor += LEAST[codes[row]]
+            prices[row] = [floor] * 4
         for origin in range(4):
             _auction(codes, prices, first, last, origin)
     letters, row, state = [], 0, START
