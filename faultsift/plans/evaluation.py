@@ -28,6 +28,19 @@ def project_results(scored: DataFrame, query: list[str], candidate: str, group:
     )
 
 
+def fold_metrics(sides: DataFrame, query: list[str], candidate: str) -> DataFrame:
+    """Metrics (side, fold, metric, k, value) of every fold and side, and their mean over folds.
+
+    `sides` has `fold` and `side` beside the scores, as `models.cross_validated_sides` gives them.
+    The mean has a null fold and three decimal places.
+    """
+    group = ["side", "fold"]
+    slim = stage(sides.select(*group, *query, candidate, "score", "match"))
+    per_fold = stage(ranking.metrics(slim, [*group, *query], candidate, group))
+    mean = per_fold.groupBy("side", "metric", "k").agg(F.round(F.avg("value"), 3).alias("value"))
+    return per_fold.unionByName(mean.withColumn("fold", F.lit(None).cast("int")))
+
+
 def write_results(scored: DataFrame, query: list[str], candidate: str, group: list[str], path: str) -> None:
     """Metrics as JSON and as a long table, rankings as text, below one folder."""
     table = stage(evaluated(scored, query, candidate, group))
