@@ -12,7 +12,7 @@ from faultsift.catalog.sampling import circle_sql
 from faultsift.functions.text import identifier_tokens
 from faultsift.plans import features
 
-NEGATIVES = 2
+NEGATIVES = 50
 
 PAIRS = f"""
 {COLLAB}, {data.SOURCES},

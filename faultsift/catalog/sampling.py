@@ -29,12 +29,12 @@ kept AS (
 drawn AS (SELECT * FROM kept WHERE draw <= {n})"""
 
 
-@query(f"WITH {data.TOUCHES}, {circle_sql(4)} SELECT report_id, file, candidate, draw FROM drawn")
+@query(f"WITH {data.TOUCHES}, {circle_sql(100)} SELECT report_id, file, candidate, draw FROM drawn")
 def sampled_wrong_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four random files a report did not fix, for every file it fixed."""
+    """A hundred random files a report did not fix, for every file it fixed; all where there are fewer."""
     files = data.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"))
     touched = data.touches(spark, sf_dir).select("report_id", "file")
-    return sampling.sampled_wrong_files(touched, files, 4).select("report_id", "file", "candidate", "draw")
+    return sampling.sampled_wrong_files(touched, files, 100).select("report_id", "file", "candidate", "draw")
 
 
 @query(

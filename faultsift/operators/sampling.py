@@ -29,51 +29,67 @@ def hash_number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("bigint")
 
 
-def _circle(files: DataFrame, seed: str) -> DataFrame:
-    """Files with a place 0 ... n - 1 in random order."""
+def circle(files: DataFrame, seed: str = "0") -> DataFrame:
+    """(place, file): the distinct files with a place 0 ... n - 1 in random order."""
     keyed = files.select("file").distinct().withColumn("_h", shuffle_key(seed, F.col("file")))
     placed = numbered(keyed, [], [F.col("_h"), F.col("file")], hash_block(F.col("_h")), "_rn")
-    return placed.select((F.col("_rn") - 1).alias("_place"), F.col("file").alias("candidate"))
+    return placed.select((F.col("_rn") - 1).alias("place"), "file")
 
 
-def sampled_wrong_files(positives: DataFrame, files: DataFrame, n: int, seed: str = "0") -> DataFrame:
-    """For every (report_id, file) of `positives`, n files the report did not fix.
+def drawn_places(positives: DataFrame, placed: DataFrame, n: int, seed: str = "0") -> DataFrame:
+    """For every (report_id, file) of `positives`, `places`: n places of the circle `placed` in the order of the draw.
 
     All files lie on a circle in random order. A positive starts at a random place and takes the
     next n files that its report did not fix (all such files, where there are fewer than n). A
-    walk past n plus the number of fixed files is always long enough. Reports with more than 3 n
-    fixed files try 4 n steps first; only positives still short of n go the whole way. No pairing
-    of reports with all files takes place.
-    Adds `candidate` and `draw` (1 ... n).
+    walk past n plus the number of fixed files is always long enough. Where a report fixed at most 3 n
+    files, their places travel with it and the walk is one array; other reports leave out what they
+    fixed by an anti join, trying 4 n steps first; only positives still short of n go the whole way.
+    No pairing of reports with all files takes place. A positive that draws nothing has no row.
     """
-    files = files.select("file").distinct()
-    total = files.agg(F.count(F.lit(1))).scalar()
-    circle = _circle(files, seed)
-    fixed = positives.select("report_id", F.col("file").alias("candidate"))
+    total = F.lit(placed.count())
     start = F.pmod(hash_number(shuffle_key(seed, F.col("report_id"), F.col("file"))), total)
-    per_report = positives.groupBy("report_id").agg(F.count(F.lit(1)).alias("_fixed"))
-    starts = positives.withColumn("_start", start).join(per_report, "report_id")
+    rows = positives.select("report_id", "file").join(placed, "file", "left").withColumn("_start", start)
+    fixed = rows.groupBy("report_id").agg(F.count(F.lit(1)).alias("_fixed"))
+    few = fixed.where(F.col("_fixed") <= 3 * n)
+    listed = rows.join(few, "report_id", "left_semi").groupBy("report_id").agg(
+        F.collect_list("place").alias("_own"), F.count(F.lit(1)).alias("_fixed")
+    )
+    usual = rows.join(listed, "report_id")
+    steps = F.sequence(F.lit(0).cast("bigint"), F.least(F.col("_fixed") + n, total) - 1)
+    own = F.transform("_own", lambda p: F.pmod(p - F.col("_start"), total))
+    free = F.slice(F.array_except(steps, own), 1, n)
+    short_walks = usual.select("report_id", "file", F.transform(free, lambda s: (F.col("_start") + s) % total).alias("places"))
+
+    many = rows.join(fixed.where(F.col("_fixed") > 3 * n), "report_id")
+    taken = many.where(F.col("place").isNotNull()).select("report_id", F.col("place").alias("_place")).distinct()
 
     def walk(rows: DataFrame, length: Column) -> DataFrame:
-        steps = F.explode(F.sequence(F.lit(0), F.least(length, total) - 1)).alias("_step")
-        opened = rows.select("report_id", "file", "_start", steps).withColumn(
-            "_place", F.pmod(F.col("_start") + F.col("_step"), total)
-        )
-        kept = opened.join(circle, "_place").join(fixed, ["report_id", "candidate"], "left_anti")
+        step = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(length, total) - 1)).alias("_step")
+        opened = rows.select("report_id", "file", "_start", step).withColumn("_place", (F.col("_start") + F.col("_step")) % total)
+        kept = opened.join(taken, ["report_id", "_place"], "left_anti")
         order = Window.partitionBy("report_id", "file").orderBy("_step")
-        return (
-            kept.withColumn("draw", F.row_number().over(order)).where(F.col("draw") <= n)
-            .select("report_id", "file", "candidate", "draw")
-        )
-
-    enough, reach = F.col("_fixed") + n, F.lit(4 * n).cast("bigint")
-    usual = walk(starts.where(enough <= reach), enough)
-    many = starts.where(enough > reach)
-    tried = walk(many, reach)
-    complete = tried.where(F.col("draw") == n).select("report_id", "file")
-    short = many.join(complete, ["report_id", "file"], "left_anti")
-    first = tried.join(complete, ["report_id", "file"], "left_semi")
-    return usual.unionByName(first).unionByName(walk(short, enough))
+        drawn = kept.withColumn("_draw", F.row_number().over(order)).where(F.col("_draw") <= n)
+        listed = F.sort_array(F.collect_list(F.struct("_step", "_place")))
+        return drawn.groupBy("report_id", "file").agg(listed["_place"].alias("places"))
+
+    tried = walk(many, F.lit(4 * n).cast("bigint"))
+    complete = tried.where(F.size("places") == n)
+    keys = ["report_id", "file"]
+    rest = walk(many.join(complete, keys, "left_anti"), F.col("_fixed") + n)
+    return short_walks.where(F.size("places") > 0).unionByName(complete).unionByName(rest)
+
+
+def sampled_wrong_files(positives: DataFrame, files: DataFrame, n: int, seed: str = "0") -> DataFrame:
+    """For every (report_id, file) of `positives`, n random files the report did not fix, as `drawn_places` draws them.
+
+    Adds `candidate` and `draw` (1 ... n).
+    """
+    placed = circle(files, seed)
+    drawn = drawn_places(positives, placed, n, seed)
+    opened = drawn.select("report_id", "file", F.posexplode("places").alias("_at", "place"))
+    return opened.join(placed.withColumnRenamed("file", "candidate"), "place").select(
+        "report_id", "file", "candidate", (F.col("_at") + 1).alias("draw")
+    )
 
 
 def hardest(scored: DataFrame, k: int, score: str = "rVSM_similarity") -> DataFrame:

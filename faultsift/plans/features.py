@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultsift.functions import text
-from faultsift.operators import history, sampling
-from faultsift.operators.terms import pair_cosines, term_frequencies
+from faultsift.operators import blocks, history, sampling
+from faultsift.operators.terms import term_frequencies
 from faultsift.session import stage
 from faultsift.sources.schemas import FEATURE_COLUMNS
 
@@ -23,12 +23,6 @@ def unknown_files(touched: DataFrame, sources: DataFrame) -> DataFrame:
     return missing.agg(F.count(F.lit(1)).alias("n")).select(F.lit("unknown file").alias("reason"), "n")
 
 
-def lexical(pairs: DataFrame, report_tf: DataFrame, source_tf: DataFrame, class_tf: DataFrame) -> DataFrame:
-    """Add rVSM_similarity and classname_similarity to pairs (report_id, file)."""
-    texts = {"rVSM_similarity": source_tf, "classname_similarity": class_tf}
-    return pair_cosines(pairs, report_tf, texts, ["report_id"], ["file"])
-
-
 def feature_table(
     reports: DataFrame,
     touched: DataFrame,
@@ -51,25 +45,55 @@ def feature_table(
     class_tf = term_frequencies(sources, ["file"], tokens(names))
 
     matches = known_touches(touched, sources)
-    past = with_history(matches, report_tf)
-    drawn = stage(sampling.sampled_wrong_files(matches.select("report_id", "file"), sources, 2 * negatives, seed))
-    # A wrong file may be drawn for several matches of a report; each pair is scored once.
-    wrong = drawn.select("report_id", F.col("candidate").alias("file")).distinct()
-    right = matches.select("report_id", "file")
-    scored = stage(lexical(right.unionByName(wrong), report_tf, source_tf, class_tf))
-
-    positive = scored.join(past, ["report_id", "file"]).withColumn("match", F.lit(1))
-    by_candidate = scored.withColumnRenamed("file", "candidate")
-    best = sampling.hardest(drawn.join(by_candidate, ["report_id", "candidate"]), negatives)
+    past = with_history(matches, report_tf).select("report_id", "file", *FEATURE_COLUMNS[3:4], *FEATURE_COLUMNS[5:7])
+    answers = _answers(matches.select("report_id", "file"), sources, report_tf, [source_tf, class_tf], 2 * negatives, seed)
+    # One row per match from here on: its own similarities, and those of its wrong files, hardest first.
+    best = F.slice(F.sort_array("wrong"), 1, negatives)
+    row = {"file": "file", "rVSM_similarity": "lexical", "classname_similarity": "names"}
+    hard = F.transform(best, lambda w: F.struct(*[w[old].alias(new) for new, old in row.items()], F.lit(0).alias("match")))
+    own = F.struct(F.col("file").alias("file"), *[F.col("own")[old].alias(new) for new, old in list(row.items())[1:]], F.lit(1).alias("match"))
+    found = answers.join(past, ["report_id", "file"])
     if inherit:
-        negative = best.join(past, ["report_id", "file"])
-    else:
-        own = with_history(touched, report_tf, asked_pairs(best, touched))
-        negative = best.join(own.withColumnRenamed("file", "candidate"), ["report_id", "candidate"])
-    negative = negative.drop("file").withColumnRenamed("candidate", "file").withColumn("match", F.lit(0))
+        rows = found.select("report_id", *past.columns[2:], F.inline(F.concat(F.array(own), hard)))
+        return rows.select(*FEATURE_COLUMNS)
+    positive = found.select("report_id", *past.columns[2:], F.inline(F.array(own)))
+    negative = stage(answers.select("report_id", F.inline(hard)))
+    history_of = with_history(touched, report_tf, asked_pairs(negative, touched))
+    negative = negative.join(history_of, ["report_id", "file"])
     return positive.select(*FEATURE_COLUMNS).unionByName(negative.select(*FEATURE_COLUMNS))
 
 
+def _answers(
+    matches: DataFrame, sources: DataFrame, report_tf: DataFrame, parts: list[DataFrame], draws: int, seed: str
+) -> DataFrame:
+    """Per match `own` (its similarities) and `wrong`, those of `draws` random wrong files, to be sorted hardest first."""
+    parts = [stage(part) for part in parts]
+    ids = stage(blocks.term_numbers(parts))
+    placed = stage(sampling.circle(sources, seed))
+    arrays = stage(blocks.report_arrays(report_tf, ids))
+    drawn = sampling.drawn_places(matches, placed, draws, seed)
+    asked = drawn.select("report_id", "file", F.lit(False).alias("is_own"), "places").unionByName(
+        matches.join(placed, "file").select("report_id", "file", F.lit(True).alias("is_own"), F.array("place").alias("places"))
+    )
+    at = F.explode(F.array_distinct(F.transform("places", blocks.block_of)))
+    cut = asked.withColumn("block", at).withColumn("places", F.filter("places", lambda p: blocks.block_of(p) == F.col("block")))
+    questions = stage(cut.join(arrays, "report_id", "left"))
+    heads = blocks.file_blocks(placed, parts, ids)
+    answered = blocks.block_similarities(questions, heads, placed, len(parts))
+    similar = F.transform(
+        "answers",
+        lambda a: F.struct(
+            a["sims"][0].isNull().alias("unknown"), (-a["sims"][0]).alias("falling"), a["file"].alias("file"),
+            a["sims"][0].alias("lexical"), a["sims"][1].alias("names"),
+        ),
+    )
+    rows = answered.select("report_id", "file", "is_own", similar.alias("similar"))
+    return rows.groupBy("report_id", "file").agg(
+        F.first(F.when(F.col("is_own"), F.col("similar")[0]), ignorenulls=True).alias("own"),
+        F.flatten(F.collect_list(F.when(~F.col("is_own"), F.col("similar")))).alias("wrong"),
+    )
+
+
 def with_history(touched: DataFrame, report_tf: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """bug_recency, bug_frequency and collab_filter per (report_id, file)."""
     keys = ["report_id", "file"]
@@ -80,5 +104,5 @@ def with_history(touched: DataFrame, report_tf: DataFrame, asked: DataFrame | No
 def asked_pairs(drawn: DataFrame, touched: DataFrame) -> DataFrame:
     """The drawn files of a report with the time of the report."""
     times = touched.groupBy("report_id").agg(F.min("report_time").alias("report_time"))
-    pairs = drawn.select("report_id", F.col("candidate").alias("file")).distinct()
+    pairs = drawn.select("report_id", "file").distinct()
     return pairs.join(times, "report_id")

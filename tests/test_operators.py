@@ -464,3 +464,57 @@ def test_merged_entries(spark):
 def test_pair_cosine_formula_is_one_for_equal_texts(spark):
     ones = [F.lit(float(v)) for v in (5, 5, 5, 5, 5)]
     assert math.isclose(spark.range(1).select(measures.pair_cosine(*ones).alias("c")).first().c, 1.0)
+
+
+@pytest.mark.parametrize("n", [1, 3, 12, 60])
+def test_wrong_files_of_reports_that_fixed_few_or_many(spark, n):
+    """The first n files of the walk that the report did not fix; n = 1 sends most reports the long way."""
+    import hashlib
+
+    files = [f"f{i}" for i in range(40)]
+    fixed = {1: files[:2], 2: files[5:30], 3: files, 4: files[:39], 5: files[7:12]}
+    positives = spark.createDataFrame([(r, f) for r, fs in fixed.items() for f in fs], "report_id long, file string")
+    sources = spark.createDataFrame([(f,) for f in files * 2], "file string")
+    got = {}
+    for r in sampling.sampled_wrong_files(positives, sources, n).collect():
+        got.setdefault((r.report_id, r.file), []).append((r.draw, r.candidate))
+    order = sorted(files, key=lambda f: (hashlib.md5(f"0|{f}".encode()).hexdigest(), f))
+    want = {}
+    for r, fs in fixed.items():
+        for f in fs:
+            start = int(hashlib.md5(f"0|{r}|{f}".encode()).hexdigest()[:13], 16) % 40
+            free = [x for x in order[start:] + order[:start] if x not in fs][:n]
+            if free:
+                want[r, f] = list(enumerate(free, 1))
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+@pytest.mark.parametrize("products", [1 << 21, 7])
+def test_block_similarities_against_pair_cosines(spark, monkeypatch, products):
+    import random
+
+    from faultsift.operators import blocks
+
+    monkeypatch.setattr(blocks, "MOST_PRODUCTS", products)
+    monkeypatch.setattr(blocks, "SHARE_ROWS", 40)
+    rng = random.Random(products)
+    tf = "i string, term string, tf long"
+    files = [f"f{i:03d}" for i in range(300)]
+    reports = [(f"r{r}", f"t{t}", rng.randint(1, 4)) for r in range(30) for t in rng.sample(range(60), rng.randint(0, 9))]
+    texts = [[(f, f"t{t}", rng.randint(1, 3)) for f in files for t in rng.sample(range(50), rng.randint(0, k))] for k in (8, 2)]
+    report_tf = spark.createDataFrame(reports, tf).withColumnRenamed("i", "report_id")
+    parts = [spark.createDataFrame(rows, tf).withColumnRenamed("i", "file") for rows in texts]
+    placed = sampling.circle(spark.createDataFrame([(f,) for f in files], "file string"))
+    ids = blocks.term_numbers(parts)
+    asked = [(f"r{r}", b, sorted(rng.sample(range(128 * b, min(300, 128 * b + 128)), 9))) for r in range(33) for b in range(3)]
+    questions = spark.createDataFrame(asked, "report_id string, block long, places array<long>")
+    questions = questions.join(blocks.report_arrays(report_tf, ids), "report_id", "left")
+    got = blocks.block_similarities(questions, blocks.file_blocks(placed, parts, ids), placed, 2)
+    got = got.select("report_id", F.inline("answers")).collect()
+    names = {r.place: r.file for r in placed.collect()}
+    pairs = spark.createDataFrame([(r, names[p]) for r, _, places in asked for p in places], "report_id string, file string")
+    want = {(r.report_id, r.file): (r.s0, r.s1) for r in terms.pair_cosines(pairs, report_tf, {"s0": parts[0], "s1": parts[1]}, ["report_id"], ["file"]).collect()}
+    assert len(got) == len(want) == 33 * 27
+    for r in got:
+        for a, b in zip(r.sims, want[r.report_id, r.file]):
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-12)
