@@ -44,13 +44,18 @@ class LookupCache(dict):
     """Values by word, each computed where it is looked up first; at most twice `limit` are held.
 
     When `limit` are there they become the older half, from which later lookups take them back.
+    Words of over `LONGEST` characters are computed anew each time, so an entry is some hundred bytes.
     """
 
+    LONGEST = 64
+
     def __init__(self, compute: Callable[[str], bytes], limit: int) -> None:
         super().__init__()
         self.compute, self.limit, self.older = compute, limit, {}
 
     def __missing__(self, word: str) -> bytes:
+        if len(word) > self.LONGEST:
+            return self.compute(word)
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()

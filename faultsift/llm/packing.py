@@ -22,6 +22,8 @@ from faultsift.session import stage
 CAPACITY = 2048
 #: Pieces that share a rank group at most, on average.
 GROUP = 20_000
+#: Entries of half a cache of parts or atoms; four halves of about 200 bytes an entry are held by a process.
+CACHED = 200_000
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
@@ -46,8 +48,8 @@ class WordEncoder:
         # the byte alphabet: printable bytes stand for themselves, the others follow from 256 on
         itself = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(itself)))}
-        self.parts = LookupCache(self._part, 700_000)
-        self.atoms = LookupCache(self._atom, 500_000)
+        self.parts = LookupCache(self._part, CACHED)
+        self.atoms = LookupCache(self._atom, CACHED)
 
     def _atom(self, atom: str) -> bytes:
         by_byte = atom if atom.isascii() else atom.encode().decode("latin-1").translate(self.alphabet)
