@@ -55,23 +55,25 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     r"""
     WITH cut AS (
-      SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit,
-             generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS unit_no
-      FROM documents),
+      SELECT doc_id, unnest(parts) AS unit, generate_subscripts(parts, 1) - 1 AS unit_no
+      FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\n]*?(?:[.!?] |\n)|[^\n]+') AS parts FROM documents)),
     placed AS (
       SELECT doc_id, unit_no, length(unit) AS n,
-             coalesce(sum(length(unit) + 1) OVER (
+             coalesce(sum(length(unit)) OVER (
                PARTITION BY doc_id ORDER BY unit_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
              trim(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
       FROM cut),
-    long_ones AS (SELECT * FROM placed WHERE len(string_split(norm, ' ')) >= 25),
+    worded AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit_no) AS nth FROM placed WHERE norm <> ''),
     ranked AS (
       SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS first_doc_id,
              first_value(unit_no) OVER w AS first_unit_no
-      FROM long_ones WINDOW w AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, unit_no))
+      FROM worded WINDOW w AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, unit_no)),
+    runs AS (
+      SELECT *, nth - row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS run FROM ranked WHERE place > 1),
+    summed AS (SELECT *, sum(len(string_split(norm, ' '))) OVER (PARTITION BY doc_id, run) AS words FROM runs)
     SELECT doc_id, CAST(unit_no AS BIGINT) AS unit_no, CAST(start AS BIGINT) AS start,
            CAST(start + n AS BIGINT) AS stop, first_doc_id, CAST(first_unit_no AS BIGINT) AS first_unit_no
-    FROM ranked WHERE place > 1
+    FROM summed WHERE words >= 25
     """
 )
 def op2_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
