@@ -53,6 +53,10 @@ class LookupCache(dict):
         super().__init__()
         self.compute, self.limit, self.older = compute, limit, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
     def __missing__(self, word: str) -> bytes:
         if len(word) > self.LONGEST:
             return self.compute(word)
@@ -83,10 +87,13 @@ def text_list(column: pa.Array) -> list[str]:
     return ["" if text is None else text for text in column.to_pylist()]
 
 
-def by_document(docs: DataFrame, work: Callable[[list[str]], list[tuple]], schema: str, text: str, *keys: str) -> DataFrame:
+def by_document(
+    docs: DataFrame, work: Callable[[list[str]], list[tuple]], schema: str, text: str, *keys: str, done: Callable[[], None] | None = None
+) -> DataFrame:
     """The `keys` of every document as they are, and the columns of `schema` that `work` finds.
 
-    `work` gets consecutive texts of about a million characters and returns a tuple for each.
+    `work` gets consecutive texts of about a million characters and returns a tuple for each; `done` is
+    called when a task is over, to let go of what `work` has kept in the process.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,6 +104,8 @@ def by_document(docs: DataFrame, work: Callable[[list[str]], list[tuple]], schem
                 columns = [pa.array(values, kind) for values, kind in zip(found, kinds, strict=True)]
                 own = [batch.column(1 + i).slice(start, end - start) for i in range(len(keys))]
                 yield pa.RecordBatch.from_arrays(own + columns, names)
+        if done is not None:
+            done()
 
     struct = T.StructType.fromDDL(schema)
     kinds = [to_arrow_type(field.dataType) for field in struct]

@@ -34,7 +34,7 @@ class WordEncoder:
     its parts in order. Each part is encoded when it is met first and kept in a cache of bounded
     size. A part of plain ASCII signs and Latin letters is cut here as the tokenizer cuts it (runs
     of letters, single digits, runs of other signs, all in lower case) and only its atoms go
-    through the model; any other part goes through the whole tokenizer.
+    through the model; any other part goes through the whole tokenizer. Caches go with the task.
     """
 
     PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -60,6 +60,11 @@ class WordEncoder:
             return b"".join(map(self.atoms.__getitem__, self.ATOM.findall(part.lower())))
         return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes() if part else b""
 
+    def forget(self) -> None:
+        """Empty the caches; the worker may live on and do other work."""
+        self.parts.forget()
+        self.atoms.forget()
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
             yield b"".join(map(self.parts.__getitem__, text.replace("\n", " ").split(" ")))
@@ -82,8 +87,11 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_
             out.append(([(i, i * capacity, len(part) // 4, zlib.crc32(part)) for i, part in enumerate(parts)],))
         return out
 
+    def done() -> None:
+        _ENCODERS[tokenizer].forget() if tokenizer in _ENCODERS else None
+
     kind = "struct<piece int, start long, length long, ids_crc32 long>"
-    return by_document(docs, cut, f"_pieces array<{kind}>", text, key).select(key, F.inline("_pieces"))
+    return by_document(docs, cut, f"_pieces array<{kind}>", text, key, done=done).select(key, F.inline("_pieces"))
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:

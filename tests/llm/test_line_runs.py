@@ -79,3 +79,24 @@ def test_a_passage_wrapped_or_inside_a_line_goes(spark):
     cleaned = {r.doc_id: r.text for r in line_hashing.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert cleaned[0] == docs[0][1] and cleaned[3] == "ab. cd."
     assert cleaned[1] == "\n".join(own[1]) + "\n" and cleaned[2] == " ".join(own[2])
+
+
+def test_what_a_packing_task_kept_goes_with_it(spark):
+    import public_tokenizers
+
+    from faultsift.llm import common, packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = packing.WordEncoder(path)
+    whole = ["Plain words, é and " + "x" * 70, "again"]
+    first = list(encoder.encode(whole))
+    assert encoder.parts and "x" * 70 not in encoder.parts and encoder.atoms
+    encoder.forget()
+    assert not encoder.parts and not encoder.atoms and list(encoder.encode(whole)) == first
+    held = spark.createDataFrame([(i, f"w{i} " * 50) for i in range(40)], "doc_id long, text string").repartition(1)
+    packing.pieces(held, path).count()
+    left = spark.range(1, numPartitions=1).mapInPandas(
+        lambda frames: (f.assign(n=sum(len(e.parts) + len(e.parts.older) for e in packing._ENCODERS.values())) for f in frames), "id long, n long"
+    )
+    assert left.first()["n"] == 0
+    assert common.LookupCache(str.encode, 5)["a"] == b"a"
