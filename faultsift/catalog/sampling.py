@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from faultsift.catalog import data
 from faultsift.catalog.registry import query
 from faultsift.catalog.vectors import DENSE, dense_cosine
-from faultsift.operators import sampling
+from faultsift.operators import neighbours, sampling, terms
 from faultsift.operators.running import hash_block, id_block, numbered
+from faultsift.session import stage
 
 
 def circle_sql(n: int) -> str:
@@ -102,6 +103,37 @@ def neighbour_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "other_id", "draw")
 
 
+@query(
+    f"""
+WITH {data.DIALOGUE},
+docs AS (SELECT conv_id * 100000 + turn AS report_id, query, code FROM dialogue),
+tf AS (SELECT report_id, term, count(*) AS tf FROM (SELECT report_id, unnest(query) AS term FROM docs) GROUP BY ALL),
+idf AS (SELECT term, ln((SELECT count(*) FROM docs) / count(*)::DOUBLE) AS idf FROM tf GROUP BY 1),
+raw AS (SELECT report_id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+unit AS (SELECT report_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY report_id)) AS w FROM raw QUALIFY sum(w * w) OVER (PARTITION BY report_id) > 0),
+sims AS (
+  SELECT a.report_id, b.report_id AS other, round(sum(a.w * b.w), 9) AS similarity
+  FROM unit a JOIN unit b ON a.term = b.term AND a.report_id <> b.report_id WHERE a.w > 0 AND b.w > 0 GROUP BY ALL),
+near AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY similarity DESC, other) AS rank FROM sims),
+drawn AS (
+  SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY md5('0|' || report_id || '|' || other), other) AS draw FROM near WHERE rank <= 20)
+SELECT d.report_id, d.other, d.rank, d.draw, round(d.similarity, 6) AS similarity, md5(array_to_string(c.code, ' ')) AS code_md5
+FROM drawn d JOIN docs c ON c.report_id = d.other WHERE draw <= 5"""
+)
+def tfidf_neighbour_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of five random ones of the 20 reports most similar by TF-IDF, as wrong codes of a report."""
+    dialogue = data.dialogue(spark, sf_dir)
+    docs = stage(dialogue.select((F.col("conv_id") * 100000 + F.col("turn")).alias("report_id"), "query", "code"))
+    tf = terms.term_frequencies(docs, ["report_id"], F.col("query"))
+    weights = terms.unit_tfidf(tf, terms.idf_table(tf, docs), ["report_id"]).where("weight > 0")
+    near = neighbours.nearest(weights, "report_id", 20)
+    drawn = sampling.drawn_neighbours(near, "report_id", "other", 5)
+    codes = docs.select(F.col("report_id").alias("other"), F.md5(F.array_join("code", " ")).alias("code_md5"))
+    return drawn.join(codes, "other").select(
+        "report_id", "other", "rank", "draw", F.round("similarity", 6).alias("similarity"), "code_md5"
+    )
+
+
 @query(
     """
 WITH pos AS (SELECT *, row_number() OVER (ORDER BY event_id) AS rn, count(*) OVER () AS n FROM events WHERE event_type = 'purchase'),

@@ -150,9 +150,14 @@ def neighbour_negatives(similar: DataFrame, query: str, other: str, top: int, n:
     """From the `top` most similar other queries, n at random; their code serves as negatives."""
     best = Window.partitionBy(query).orderBy(F.desc("similarity"), F.asc(other))
     near = similar.where(F.col(query) != F.col(other)).withColumn("rank", F.row_number().over(best))
-    near = near.where(F.col("rank") <= top).withColumn("_h", shuffle_key(seed, F.col(query), F.col(other)))
+    return drawn_neighbours(near.where(F.col("rank") <= top), query, other, n, seed)
+
+
+def drawn_neighbours(near: DataFrame, query: str, other: str, n: int, seed: str = "0") -> DataFrame:
+    """n random rows per query, numbered by `draw`."""
+    hashed = near.withColumn("_h", shuffle_key(seed, F.col(query), F.col(other)))
     draw = F.row_number().over(Window.partitionBy(query).orderBy("_h", other))
-    return near.withColumn("draw", draw).where(F.col("draw") <= n).drop("_h")
+    return hashed.withColumn("draw", draw).where(F.col("draw") <= n).drop("_h")
 
 
 def ordered_split(positives: DataFrame, order: list[Column], bucket: Column, test_share: float) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultsift.functions import paths, text
 from faultsift.sources import schemas
+from faultsift.sources.writers import LAYOUT
 
 
 def delimited(spark: SparkSession, path: str | list[str], schema: str, sep: str = ",", multiline: bool = False) -> DataFrame:
@@ -79,6 +80,39 @@ def unkeyed_text(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("value").alias("line"))
 
 
+def result_files(spark: SparkSession, root: str, columns: str = "map double, mrr double, reports long", layout: list[str] | None = None) -> DataFrame:
+    """The rows of all result files below a folder as one table, and what could not be read.
+
+    `layout` names the folder columns (name=value) that every file's path gives. A file is comma
+    separated text of a few rows with a header of its own; columns are taken by name, so files may
+    have more of them in any order. Rows have `reason` null. A file without a column or a row without
+    a number where one is due is a row with a `reason` and the path in `file`, so nothing is lost; a file
+    of no bytes has no row.
+    """
+    layout = layout or LAYOUT
+    wanted = spark.createDataFrame([], columns).schema
+    files = spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.csv").text(root, wholetext=True)
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    keys = [F.nullif(F.regexp_extract(path, f"/{name}=([^/]*)/", 1), F.lit("")).alias(name) for name in layout]
+    lines = F.filter(F.split("value", "\r?\n"), lambda line: line != "")
+    named = files.select(*keys, path.alias("file"), lines.alias("_lines")).withColumn("_names", F.split(F.get("_lines", F.lit(0)), ","))
+    lost = F.array_except(F.array(*[F.lit(f.name) for f in wanted]), F.coalesce("_names", F.array()))
+    rows = named.withColumn("_lost", lost).withColumn("_line", F.explode_outer(F.slice("_lines", 2, F.greatest(F.size("_lines"), F.lit(1)))))
+    cells = F.split("_line", ",", -1)
+    fit = (F.size("_lost") == 0) & F.col("_line").isNotNull() & (F.size(cells) == F.size("_names"))
+    rows = rows.withColumn("_values", F.when(fit, cells))
+    values = {f.name: F.expr(f"try_cast(get(_values, array_position(_names, '{f.name}') - 1) AS {f.dataType.simpleString()})") for f in wanted}
+    read = rows.select(*layout, "file", "_lost", "_line", "_values", "_names", *[v.alias(n) for n, v in values.items()])
+    reason = (
+        F.when(F.col("_names").isNull(), "empty file")
+        .when(F.size("_lost") > 0, F.concat(F.lit("no column "), F.array_join("_lost", ", ")))
+        .when(F.col("_line").isNull(), "no rows")
+        .when(F.col("_values").isNull(), "wrong number of fields")
+        .when(F.expr(" OR ".join(f"{f.name} IS NULL" for f in wanted)), "not a number")
+    )
+    return read.select(*layout, *values, reason.alias("reason"), "file")
+
+
 def table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

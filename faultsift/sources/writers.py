@@ -39,6 +39,13 @@ def features(df: DataFrame, path: str) -> None:
     delimited(df.select(*FEATURE_COLUMNS), path)
 
 
+def result_files(df: DataFrame, path: str, layout: list[str] | None = None) -> None:
+    """Results as text in one folder per project, setting and split; other folders below `path` stay."""
+    layout = layout or LAYOUT
+    writer = df.repartition(*layout).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.option("header", True).partitionBy(*layout).csv(path)
+
+
 def metrics(df: DataFrame, path: str) -> None:
     """The long metrics table as JSON lines."""
     df.write.mode("overwrite").json(path)
