@@ -31,8 +31,12 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case runs of letters, in composed form."""
-    return _LETTERS.findall(unicodedata.normalize("NFC", text).lower())
+    """Lower-case runs of letters (Unicode category L), in composed form."""
+    found = _LETTERS.findall(unicodedata.normalize("NFC", text).lower())
+    if all(map(str.isalpha, found)):
+        return found
+    # The pattern takes numbers that are no digits for letters, such as one half or a Roman eight.
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def is_held_out(key: Column) -> Column:

@@ -128,7 +128,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     largest values count. About `most` documents are drawn by the hash of their key; they are
     broadcast as keys, so no text is shuffled. The models of a category, one per fold and one of
     all, are fitted in a task each; a model is one vector of FEATURES numbers. Without labelled
-    documents every probability is one half.
+    documents there is no model and every probability is NaN.
     """
     sample = stage(_sample(docs, labels, categories, text, key, most), "labelled")
     chain, earlier, names = [], [], list(categories)
@@ -138,7 +138,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
         kinds = [f"{c} {t}" for c, t in sample.dtypes if c != "_k"]
         fitted = stage(copies.groupBy("model").applyInPandas(fit, ", ".join([*kinds, "q double", "found binary"])), "fitted")
         row = fitted.where("found IS NOT NULL").select("found").first()
-        whole = np.frombuffer(row[0], "float64") if row else np.zeros(FEATURES + len(earlier) + 1)
+        whole = np.frombuffer(row[0], "float64") if row else np.full(FEATURES + len(earlier) + 1, np.nan)
         chain.append((name, Linear(whole[:FEATURES], whole[FEATURES:-1], float(whole[-1]))))
         unstage(sample)
         earlier.append(f"p_{name}")
@@ -165,8 +165,10 @@ def score_chain(docs: DataFrame, chain: list[tuple[str, Linear]], text: str = "t
 def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], text: str = "text", key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """The key, p_<category> and is_<category> (probability at least `threshold`) of every document.
 
-    Null keys and repeated rows are scored like any other.
+    Null keys and repeated rows are scored like any other, a null text like an empty one; an empty
+    table has no rows. Without labelled documents probabilities are null and verdicts false.
     """
     chain = fit_chain(docs, labels, categories, text, key)
     scored = score_chain(docs, chain, text, key)
-    return scored.withColumns({f"is_{name}": F.col(f"p_{name}") >= threshold for name in categories})
+    known = scored.withColumns({f"p_{name}": F.when(~F.isnan(f"p_{name}"), F.col(f"p_{name}")) for name in categories})
+    return known.withColumns({f"is_{name}": F.coalesce(F.col(f"p_{name}") >= threshold, F.lit(False)) for name in categories})
