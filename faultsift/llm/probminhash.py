@@ -17,11 +17,14 @@ WORDS = 5
 SIMILARITY = 0.8
 #: BANDS x ROWS components. At a similarity of 0.8 two texts share no band once in 200,000 pairs.
 BANDS, ROWS = 40, 6
-#: Distinct texts up to which a bucket is tested whole, and the mean number of members that all others
-#: of a larger one are tested against in round 1; every round doubles it, up to MOST_HEADS.
-SMALL, HEADS, MOST_HEADS = 32, 4, 64
+#: Distinct texts up to which a bucket is tested whole, and the members that all others of a larger one
+#: are tested against in round 1.
+SMALL, HEADS = 32, 4
 #: Texts of a group of common prefix shingles that one task pairs with all others of the group.
-PART = 256
+PART = 2048
+#: Bits of the sketches that texts of large buckets compare before their sets are fetched, and the standard
+#: deviations that two texts of just the similarity may fall short (once in a billion pairs they do).
+BITS, DEVIATIONS = 1024, 6.0
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -157,6 +160,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return few.join(left, "a").join(right, "b").mapInArrow(measure, "a binary, b binary")
 
 
+def sketch(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """BITS bits of a set as 64-bit numbers: one of each component of a ProbMinHash signature.
+
+    Two sets of similarity J agree in a bit with the probability (1 + J) / 2.
+    """
+    bits = (mix(signature(elements, weights, BITS)) & np.uint64(1)).astype(bool)
+    return np.packbits(bits).view("int64")
+
+
+def _sketched(sets: DataFrame) -> DataFrame:
+    """(name, sketch) of shingle sets."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e, w = batch.column("elements"), batch.column("weights")
+            found = [sketch(_values(e, i, "int64").view("uint64"), _values(w, i, "int32")).tolist() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(found, pa.list_(pa.int64()))], ["name", "sketch"])
+
+    return sets.select("name", "elements", "weights").mapInArrow(work, "name binary, sketch array<long>")
+
+
+def least_agreement(similarity: float) -> int:
+    """Bits in which sketches agree at least, DEVIATIONS below the mean of two sets of `similarity`."""
+    share = (1 + similarity) / 2
+    return int(BITS * share - DEVIATIONS * (BITS * share * (1 - share)) ** 0.5)
+
+
 def _with_root(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     """`rows` with the root of their name, which is the name itself where no label says otherwise."""
     if labels is None:
@@ -168,18 +198,21 @@ def _with_root(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 def _heads(labelled: DataFrame, turn: int) -> DataFrame:
     """(band, heads) of the buckets that hold several classes: the members all others are tested against.
 
-    Round 0: the one of the least name and another. Round 1: every member of a bucket of at most
-    SMALL texts, HEADS members of a larger one in the mean, drawn by hash. Later rounds: twice as
-    many as before of the larger ones, MOST_HEADS at most; only pairs of different classes follow.
+    Round 0: the one that meets the most texts in all its buckets; it is the same in most buckets of
+    a group of copies, and near the middle of the group. Round 1: every member of a bucket of at
+    most SMALL texts, the one that meets the most of each of HEADS parts of a larger one.
     """
-    one = F.struct("name", "root")
-    if turn == 0:
-        heads = F.array(F.min_by(one, F.col("name")), F.min_by(one, F.xxhash64("name", F.lit(turn))))
-    else:
-        drawn = F.pmod(F.xxhash64("name", "band", F.lit(turn)), F.col("n")) < min(HEADS << (turn - 1), MOST_HEADS)
-        heads = F.collect_list(F.when((F.col("n") <= SMALL) | drawn, one))
-    among = labelled.where(F.col("n") > SMALL) if turn > 1 else labelled
-    found = among.groupBy("band").agg(heads.alias("heads"), F.min("root").alias("low"), F.max("root").alias("high"))
+    one, met = F.struct("name", "root"), F.struct("meets", "name")
+    part = F.lit(0)
+    if turn:
+        part = F.when(F.col("n") <= SMALL, F.lit(-1)).otherwise(F.pmod(F.xxhash64("name"), F.lit(HEADS)).cast("int"))
+    whole = F.collect_list(F.when(F.lit(turn > 0) & (F.col("n") <= SMALL), one))
+    found = labelled.groupBy("band", part.alias("part")).agg(
+        F.max_by(one, met).alias("first"), whole.alias("whole"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    heads = F.when(F.size("whole") > 0, F.col("whole")).otherwise(F.array("first"))
+    found = found.select("band", heads.alias("heads"), "low", "high").groupBy("band")
+    found = found.agg(F.flatten(F.collect_list("heads")).alias("heads"), F.min("low").alias("low"), F.max("high").alias("high"))
     return found.where(F.col("low") != F.col("high")).select("band", "heads")
 
 
@@ -187,11 +220,14 @@ def _unfinished(labelled: DataFrame) -> DataFrame:
     """(name, root) of the texts in buckets of more than SMALL texts that hold several classes."""
     large = labelled.where(F.col("n") > SMALL)
     open_ones = large.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
-    return large.join(bounded(stage(open_ones, "open")), "band", "left_semi").select("name", "root").distinct()
+    open_ones = stage(open_ones, "open")
+    names = stage(large.join(bounded(open_ones), "band", "left_semi").select("name", "root").distinct(), "unfinished")
+    unstage(open_ones)
+    return names
 
 
-def _prefixed(names: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(element, name, root): the first shingles of every text, rarest first, that other texts hold as well.
+def _prefixed(own: DataFrame, similarity: float) -> DataFrame:
+    """(name, prefix): the first shingles of every text, rarest first, that other texts hold as well.
 
     The probability Jaccard similarity of two sets is at most the sum over common elements of the
     lesser of their two shares, since each term 1 / sum of max(...) is at most either share. So the
@@ -199,33 +235,64 @@ def _prefixed(names: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     cannot all lie behind the elements that take up more than the rest of it: in one order of all
     elements the first common one is in the prefix of both.
     """
-    own = sets.join(bounded(names), "name").withColumn("total", F.aggregate("weights", F.lit(0).cast("long"), lambda a, w: a + w))
-    own = own.select("name", "root", "total", F.explode(F.arrays_zip("elements", "weights")).alias("s"))
-    own = stage(own.select("name", "root", "total", F.col("s.elements").alias("element"), F.col("s.weights").alias("weight")), "opened")
-    held = own.groupBy("element").agg(F.count("*").alias("held")).where("held > 1")
-    rated = own.join(held, "element", "left").withColumn("held", F.coalesce("held", F.lit(1)))
+    total = F.aggregate("weights", F.lit(0).cast("long"), lambda a, w: a + w).alias("total")
+    single = own.select("name", total, F.explode(F.arrays_zip("elements", "weights")).alias("s"))
+    single = stage(single.select("name", "total", F.col("s.elements").alias("element"), F.col("s.weights").alias("weight")), "opened")
+    held = single.groupBy("element").agg(F.count("*").alias("held")).where("held > 1")
+    rated = single.join(held, "element", "left").withColumn("held", F.coalesce("held", F.lit(1)))
     ahead = Window.partitionBy("name").orderBy("held", "element").rowsBetween(Window.unboundedPreceding, -1)
     before = rated.withColumn("before", F.coalesce(F.sum("weight").over(ahead), F.lit(0)))
     within = (F.col("held") > 1) & (F.col("before") <= (1 - similarity + 1e-9) * F.col("total"))
-    prefixes = stage(before.where(within).select("element", "name", "root"), "prefixes")
-    unstage(own)
+    ordered = F.array_sort(F.collect_list(F.struct("held", "element")))
+    prefixes = stage(before.where(within).groupBy("name").agg(ordered["element"].alias("prefix")), "prefixes")
+    unstage(single)
     return prefixes
 
 
 def _finished(names: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of texts of different classes, of those named, that can reach `similarity`.
+    """(a, b): the pairs of texts of different classes, of those named, that can reach `similarity`.
 
-    Texts meet in the group of a shingle of both prefixes. A group is cut into parts of about PART
+    Texts meet in the group of a shingle of both prefixes, at the first one only, and become a pair
+    where their sketches agree as texts of `similarity` do. A group is cut into parts of about PART
     texts; each meets a copy of the whole group, so a large one is spread over tasks.
     """
-    prefixes = _prefixed(names, sets, similarity)
-    groups = prefixes.groupBy("element").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    own = stage(sets.join(bounded(names), "name"), "sets")
+    prefixes = _prefixed(own, similarity)
+    known = own.select("name", "root").join(prefixes, "name").join(_sketched(own), "name")
+    known = stage(known, "known")
+    unstage(own)
+    unstage(prefixes)
+    single = known.select("root", "name", F.explode("prefix").alias("element"))
+    groups = single.groupBy("element").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
     groups = stage(groups.where("low != high").select("element", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "groups")
-    met = prefixes.join(bounded(groups), "element")
-    left = met.select("element", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"), F.col("name").alias("a"), F.col("root").alias("ra"))
-    right = met.select("element", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("name").alias("b"), F.col("root").alias("rb"))
-    pairs = left.join(right, ["element", "part"]).where("a < b AND ra != rb")
-    return pairs.select("a", "b").distinct()
+    placed = known.select("name", "root", "sketch", "prefix", F.posexplode("prefix").alias("place", "element"))
+    placed = placed.withColumn("earlier", F.slice("prefix", F.lit(1), F.col("place"))).drop("prefix", "place")
+    met = placed.join(bounded(groups), "element")
+    mine = lambda x: [F.col("name").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("root", "sketch", "earlier")]]
+    left = met.select("element", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"), *mine("a"))
+    right = met.select("element", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *mine("b"))
+    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    l, r = left.alias("l"), right.alias("r")
+    close = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (differ <= BITS - least_agreement(similarity))
+    same = (F.col("l.element") == F.col("r.element")) & (F.col("l.part") == F.col("r.part"))
+    pairs = stage(l.join(r, same & close & ~F.arrays_overlap("earlier_a", "earlier_b")).select("a", "b"), "pairs")
+    unstage(known)
+    unstage(groups)
+    return pairs
+
+
+def _linked(labels: DataFrame | None, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """The classes after the stored `pairs` are tested; `pairs` and the classes before are let go."""
+    new = stage(_verified(pairs, sets, similarity), "links")
+    unstage(pairs)
+    if new.isEmpty():
+        unstage(new)
+        return labels
+    merged = _merged(labels, new)
+    unstage(new)
+    if labels is not None:
+        unstage(labels)
+    return merged
 
 
 def _merged(labels: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -248,60 +315,47 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     those not either: every such document is a class of its own with its own key. A class whose
     keys are all null has a null id.
 
-    Texts that share a band meet in its bucket. Round 0 links the members of a bucket to two of
-    them, not all with all. Buckets that hold several classes after it go on: those of at most SMALL
-    texts link all of their members in round 1, so that none of their links is missed; larger ones
-    link their members to ever more of them (see HEADS), until a round adds no link. The texts of
-    larger ones that hold several classes even then meet once more by their rarest shingles, which
-    every pair that reaches `similarity` shares, and all these pairs are tested. Buckets are
-    counted with partial aggregates and joined back on the bucket, which adaptive execution splits.
-    Every candidate is verified on whole shingle sets, which are kept for candidates only.
+    Texts that share a band meet in its bucket. Round 0 links the members of a bucket to the one that
+    meets the most texts, not all with all. Buckets that hold several classes after it go on: those
+    of at most SMALL texts link all of their members, so that none of their links is missed; larger
+    ones link their members to HEADS of them. The texts of larger ones that hold several classes
+    even then meet once more by their rarest shingles, which every pair that reaches `similarity`
+    shares; pairs of different classes whose sketches agree are tested. Buckets are counted with
+    partial aggregates and joined back on the bucket, which adaptive execution splits. Every
+    candidate is verified on whole shingle sets, which are kept for candidates only.
     """
     plain = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t"), digest(F.col(f"`{text}`")).alias("name"))
     banded = stage(_banded(plain), "bands")
     texts = banded.where("bands IS NOT NULL").groupBy("name").agg(F.first("bands").alias("bands"), F.min("k").alias("k"))
     opened = stage(texts.select("name", F.explode("bands").alias("band")), "bands")
     shared = opened.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = stage(opened.join(stage(shared, "shared"), "band"), "buckets")
+    shared = stage(shared, "shared")
+    members = stage(opened.join(shared, "band"), "buckets")
     unstage(opened)
-    candidates = stage(members.select("name").distinct(), "candidates")
+    unstage(shared)
+    candidates = stage(members.groupBy("name").agg(F.sum("n").alias("meets")), "candidates")
     firsts = banded.join(bounded(candidates), "name", "left_semi").groupBy("name").agg(F.min("k").alias("k"))
     wanted = stage(firsts, "candidates")
     mine = (F.col("p.name") == F.col("c.name")) & F.col("p.k").eqNullSafe(F.col("c.k"))
     chosen = plain.alias("p").join(bounded(wanted).alias("c"), mine, "left_semi").select("p.t", "p.name")
     sets = stage(_weighted(chosen), "shingles")
-    labels = tested = None
-    turn = 0
-    while True:
-        labelled = _with_root(members, labels)
+    unstage(wanted)
+    labels = None
+    for turn in range(2):
+        nodes = stage(_with_root(candidates, labels), "nodes")
+        labelled = members.join(bounded(nodes), "name")
         heads = stage(_heads(labelled, turn), "heads")
-        if heads.isEmpty():
-            break
         met = labelled.join(bounded(heads), "band").select("name", "root", F.explode("heads").alias("head"))
         met = met.where(F.col("root") != F.col("head.root"))
         pairs = met.select(F.least("name", "head.name").alias("a"), F.greatest("name", "head.name").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        new = stage(_verified(pairs, sets, similarity), "links")
+        labels = _linked(labels, stage(pairs, "pairs"), sets, similarity)
         unstage(heads)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        turn += 1
-        if new.isEmpty():
-            if turn > 1:
-                break
-            continue
-        labels = _merged(labels, new)
-    names = stage(_unfinished(_with_root(members, labels)), "unfinished")
+        unstage(nodes)
+    names = _unfinished(_with_root(members, labels))
     if not names.isEmpty():
-        pairs = _finished(names, sets, similarity)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        new = stage(_verified(stage(pairs, "pairs"), sets, similarity), "links")
-        if not new.isEmpty():
-            labels = _merged(labels, new)
-    unstage(sets)
-    unstage(members)
+        labels = _linked(labels, _finished(names, sets, similarity), sets, similarity)
+    for table in (names, sets, members, candidates):
+        unstage(table)
     mapped = _with_root(banded.select("k", "name", F.col("bands").isNull().alias("empty")), labels).withColumnRenamed("root", "class")
     sizes = stage(
         mapped.where("NOT empty").groupBy("class").agg(F.min("k").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1"),

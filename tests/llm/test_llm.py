@@ -354,3 +354,17 @@ def test_accepted_identifiers_are_seeds_of_new_contexts(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
     got = {r.doc_id: r.n_added for r in contextual_pii.personal_data(docs).collect()}
     assert got == {i: int(12 <= i < 19) for i in range(20)}
+
+
+def test_sketches_of_similar_sets_agree():
+    """Sets at the limit stay above the least agreement, sets far from it fall below."""
+    rng = np.random.default_rng(11)
+    for size in (20, 200, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, size).astype("uint64"))
+        ones = np.ones(len(a), "int64")
+        for shared, near in ((0.9, True), (0.4, False)):
+            own = np.unique(np.concatenate([a[: int(shared * len(a))], rng.integers(0, 1 << 63, int((1 - shared) * len(a))).astype("uint64")]))
+            assert near == (probminhash.probability_jaccard(a, ones, own, np.ones(len(own), "int64")) >= 0.8)
+            x, y = probminhash.sketch(a, ones), probminhash.sketch(own, np.ones(len(own), "int64"))
+            agree = probminhash.BITS - int(np.unpackbits((x ^ y).view("uint8")).sum())
+            assert near == (agree >= probminhash.least_agreement(0.8))
