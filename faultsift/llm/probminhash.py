@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultsift.llm.common import bounded, by_document, components, digest
@@ -22,6 +22,8 @@ BANDS, ROWS = 40, 6
 SMALL, HEADS = 32, 4
 #: Texts of a group of common prefix shingles that one task pairs with all others of the group.
 PART = 2048
+#: Slots in which shingles are counted to find the rarest of a text; any order of them gives right results.
+SLOTS = 1 << 20
 #: Bits of the sketches that texts of large buckets compare before their sets are fetched, and the standard
 #: deviations that two texts of just the similarity may fall short (once in a billion pairs they do).
 BITS, DEVIATIONS = 1024, 6.0
@@ -169,18 +171,6 @@ def sketch(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view("int64")
 
 
-def _sketched(sets: DataFrame) -> DataFrame:
-    """(name, sketch) of shingle sets."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            e, w = batch.column("elements"), batch.column("weights")
-            found = [sketch(_values(e, i, "int64").view("uint64"), _values(w, i, "int32")).tolist() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(found, pa.list_(pa.int64()))], ["name", "sketch"])
-
-    return sets.select("name", "elements", "weights").mapInArrow(work, "name binary, sketch array<long>")
-
-
 def least_agreement(similarity: float) -> int:
     """Bits in which sketches agree at least, DEVIATIONS below the mean of two sets of `similarity`."""
     share = (1 + similarity) / 2
@@ -226,27 +216,53 @@ def _unfinished(labelled: DataFrame) -> DataFrame:
     return names
 
 
-def _prefixed(own: DataFrame, similarity: float) -> DataFrame:
-    """(name, prefix): the first shingles of every text, rarest first, that other texts hold as well.
+def _holders(sets: DataFrame) -> np.ndarray:
+    """How many texts hold a shingle of each slot, a slot being the last bits of a hash; SLOTS numbers."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, "int64")
+        for batch in batches:
+            values = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            counts += np.bincount(values & (SLOTS - 1), minlength=SLOTS)
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["slot", "n"])
+
+    summed = sets.select("elements").mapInArrow(work, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    holders = np.zeros(SLOTS, "int32")
+    holders[summed.column("slot").to_numpy()] = np.minimum(summed.column("n").to_numpy(), np.iinfo("int32").max)
+    return holders
+
+
+def prefix(elements: np.ndarray, weights: np.ndarray, holders: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a text, those of the rarest slots first, that other texts may hold as well.
 
     The probability Jaccard similarity of two sets is at most the sum over common elements of the
     lesser of their two shares, since each term 1 / sum of max(...) is at most either share. So the
     common elements of two sets of at least `similarity` make up at least that share of each, and
     cannot all lie behind the elements that take up more than the rest of it: in one order of all
-    elements the first common one is in the prefix of both.
+    elements, whichever it is, the first common one is in the prefix of both.
     """
-    total = F.aggregate("weights", F.lit(0).cast("long"), lambda a, w: a + w).alias("total")
-    single = own.select("name", total, F.explode(F.arrays_zip("elements", "weights")).alias("s"))
-    single = stage(single.select("name", "total", F.col("s.elements").alias("element"), F.col("s.weights").alias("weight")), "opened")
-    held = single.groupBy("element").agg(F.count("*").alias("held")).where("held > 1")
-    rated = single.join(held, "element", "left").withColumn("held", F.coalesce("held", F.lit(1)))
-    ahead = Window.partitionBy("name").orderBy("held", "element").rowsBetween(Window.unboundedPreceding, -1)
-    before = rated.withColumn("before", F.coalesce(F.sum("weight").over(ahead), F.lit(0)))
-    within = (F.col("held") > 1) & (F.col("before") <= (1 - similarity + 1e-9) * F.col("total"))
-    ordered = F.array_sort(F.collect_list(F.struct("held", "element")))
-    prefixes = stage(before.where(within).groupBy("name").agg(ordered["element"].alias("prefix")), "prefixes")
-    unstage(single)
-    return prefixes
+    held = holders[elements & (SLOTS - 1)]
+    order = np.lexsort((elements, held))
+    ahead = np.cumsum(weights[order], dtype="int64") - weights[order]
+    return elements[order][(held[order] > 1) & (ahead <= (1 - similarity + 1e-9) * weights.sum(dtype="int64"))]
+
+
+def _known(own: DataFrame, similarity: float) -> DataFrame:
+    """(name, root, prefix, sketch) of shingle sets."""
+    holders = _holders(own)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e, w = batch.column("elements"), batch.column("weights")
+            found = [(_values(e, i, "int64"), _values(w, i, "int32")) for i in range(batch.num_rows)]
+            firsts = [prefix(x, y, holders, similarity) for x, y in found]
+            bits = [sketch(x.view("uint64"), y) for x, y in found]
+            columns = [pa.array(c, pa.list_(pa.int64())) for c in (firsts, bits)]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("root"), *columns], ["name", "root", "prefix", "sketch"])
+
+    taken = own.select("name", "root", "elements", "weights")
+    return taken.mapInArrow(work, "name binary, root binary, prefix array<long>, sketch array<long>")
 
 
 def _finished(names: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -257,11 +273,8 @@ def _finished(names: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     texts; each meets a copy of the whole group, so a large one is spread over tasks.
     """
     own = stage(sets.join(bounded(names), "name"), "sets")
-    prefixes = _prefixed(own, similarity)
-    known = own.select("name", "root").join(prefixes, "name").join(_sketched(own), "name")
-    known = stage(known, "known")
+    known = stage(_known(own, similarity), "known")
     unstage(own)
-    unstage(prefixes)
     single = known.select("root", "name", F.explode("prefix").alias("element"))
     groups = single.groupBy("element").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
     groups = stage(groups.where("low != high").select("element", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "groups")

@@ -368,3 +368,16 @@ def test_sketches_of_similar_sets_agree():
             x, y = probminhash.sketch(a, ones), probminhash.sketch(own, np.ones(len(own), "int64"))
             agree = probminhash.BITS - int(np.unpackbits((x ^ y).view("uint8")).sum())
             assert near == (agree >= probminhash.least_agreement(0.8))
+
+
+def test_prefixes_of_similar_sets_meet():
+    """Whatever the counts of the slots, two sets at the limit share an element of both prefixes."""
+    rng = np.random.default_rng(3)
+    for turn in range(200):
+        pool = rng.integers(-(1 << 63), 1 << 63, 60)
+        a, b = (np.unique(rng.choice(pool, 57, replace=False)) for _ in range(2))
+        wa, wb = (rng.integers(1, 3, len(x)).astype("int32") for x in (a, b))
+        holders = rng.integers(2, 9, probminhash.SLOTS).astype("int32")
+        near = probminhash.probability_jaccard(a, wa, b, wb)
+        met = set(probminhash.prefix(a, wa, holders, near)) & set(probminhash.prefix(b, wb, holders, near))
+        assert met, turn
