@@ -26,7 +26,7 @@ PART = 2048
 SLOTS = 1 << 20
 #: Bits of the sketches that texts of large buckets compare before their sets are fetched, and the standard
 #: deviations that two texts of just the similarity may fall short (once in a billion pairs they do).
-BITS, DEVIATIONS = 1024, 6.0
+BITS, DEVIATIONS = 2048, 6.0
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
