@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultsift.functions import paths
-from faultsift.operators import scoring, terms
+from faultsift.operators import ranking, scoring, tables, terms
 from faultsift.session import stage
 
 
@@ -61,3 +61,23 @@ def localized(
     )
     indirect = scoring.indirect_scores(similar, fixed)
     return scoring.synthesized(direct, indirect)
+
+
+def ranked(scored: DataFrame, reports: DataFrame) -> DataFrame:
+    """Rows (project_name, report_id, key, score, rank) of localised files, best first, ties by key.
+
+    `reports` has (report_id, project_name), once a report. Files without a score rank last.
+    """
+    numbered = ranking.full_ranking(scored.select("report_id", "key", "score"), ["report_id"], "key")
+    joined = numbered.join(reports.select("report_id", "project_name"), "report_id")
+    return joined.select("project_name", "report_id", "key", "score", "rank")
+
+
+def left_out(candidates: DataFrame, fixes: DataFrame) -> DataFrame:
+    """Rows (side, reason, n) of the candidates and fixes that take no part, by reason.
+
+    A file is known by its stem: those that are null or have no dot have none.
+    """
+    no_stem = {"no file": F.col("file").isNull(), "no stem": paths.file_stem(F.col("file")).isNull()}
+    counted = [tables.rejects(df, no_stem).withColumn("side", F.lit(side)) for side, df in (("candidate", candidates), ("fix", fixes))]
+    return counted[0].unionByName(counted[1]).select("side", "reason", "n")

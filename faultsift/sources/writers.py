@@ -46,6 +46,17 @@ def result_files(df: DataFrame, path: str, layout: list[str] | None = None) -> N
     writer.option("header", True).partitionBy(*layout).csv(path)
 
 
+def localized(df: DataFrame, path: str) -> None:
+    """Ranked files as Parquet in one folder per project, sorted by report and rank.
+
+    Ranges of (project, report, rank) are the tasks, so a large project is cut into several files; a
+    rerun replaces the folders of its own projects only.
+    """
+    order = ["project_name", "report_id", "rank"]
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_name").parquet(path)
+
+
 def metrics(df: DataFrame, path: str) -> None:
     """The long metrics table as JSON lines."""
     df.write.mode("overwrite").json(path)

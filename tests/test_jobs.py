@@ -219,3 +219,23 @@ def test_delimited_text_is_matched_by_name(spark, tmp_path):
     file.write_text("extra,score,name\nx,1.5,a\ny,,b\n")
     got = readers.delimited(spark, str(file), "name string, score double, other int")
     assert [tuple(r) for r in got.collect()] == [("a", 1.5, None), ("b", None, None)]
+
+
+def test_ranked_files_are_written_by_project(spark, tmp_path):
+    scored = spark.createDataFrame(
+        [("r1", "A", 0.5), ("r1", "B", 0.9), ("r1", "C", 0.5), ("r1", "D", None), ("r2", "A", 0.1)], "report_id string, key string, score double"
+    )
+    reports = spark.createDataFrame([("r1", "p"), ("r2", "q")], "report_id string, project_name string")
+    out = localization.ranked(scored, reports)
+    path = str(tmp_path / "localized")
+    writers.localized(out, path)
+    first = rows(spark.read.parquet(path), "project_name", "report_id", "rank", "key")
+    assert first == [("p", "r1", 1, "B"), ("p", "r1", 2, "A"), ("p", "r1", 3, "C"), ("p", "r1", 4, "D"), ("q", "r2", 1, "A")]
+    writers.localized(out.where("report_id = 'r2'").withColumn("key", F.lit("Z")), path)  # replaces its project only
+    assert rows(spark.read.parquet(path), "project_name", "rank", "key") == [("p", i + 1, k) for i, k in enumerate("BACD")] + [("q", 1, "Z")]
+
+
+def test_files_without_a_stem_are_counted(spark):
+    candidates = spark.createDataFrame([("r", "a/B.java"), ("r", "LICENSE"), ("r", None), ("s", "LICENSE")], "report_id string, file string")
+    got = rows(localization.left_out(candidates, candidates.limit(1)), "side", "reason", "n")
+    assert got == [("candidate", "no file", 1), ("candidate", "no stem", 2)]
