@@ -11,6 +11,8 @@ from faultsift.catalog.vectors import DENSE, IDF, SPARSE, dense_cosine
 from faultsift.functions.text import prose_words, token_count
 from faultsift.operators import scoring
 from faultsift.plans import localization
+from faultsift.session import scratch_path
+from faultsift.sources import writers
 
 SIZES = """
 sizes AS (SELECT doc_id, source, len(regexp_extract_all(text, '[\\p{L}\\p{N}'']+')) AS size FROM documents)"""
@@ -165,9 +167,8 @@ def synthesized_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("score", F.round("score", 6))
 
 
-@query(
-    f"""
-WITH {DIRECT},
+LOCALIZED = f"""
+{DIRECT},
 fixes AS (SELECT item_id, doc_id FROM pool WHERE match = 1),
 links AS (SELECT DISTINCT p.item_id, f.item_id AS other FROM pool p JOIN fixes f ON p.doc_id = f.doc_id WHERE p.item_id <> f.item_id),
 link_dot AS (SELECT l.item_id, l.other, sum(a.w * b.w) AS dot FROM links l JOIN item_w a ON l.item_id = a.item_id
@@ -180,11 +181,14 @@ link_cos AS (
 link_sim AS (SELECT item_id, other, {_mm('lexical', 'item_id')} + {_mm('dense', 'item_id')} AS similarity FROM link_cos),
 indirect AS (SELECT s.item_id, f.doc_id, max(similarity) AS score FROM link_sim s JOIN fixes f ON s.other = f.item_id GROUP BY ALL),
 dn AS (SELECT item_id, doc_id, {_mm('score', 'item_id', '1.0')} AS score FROM direct),
-n AS (SELECT item_id, doc_id, {_mm('score', 'item_id', '1.0')} AS score FROM indirect)
-SELECT dn.item_id AS report_id, 'Doc' || dn.doc_id AS key,
-       round(CASE WHEN n.score IS NOT NULL THEN 0.8 * dn.score + 0.2 * n.score ELSE dn.score END, 5) AS score
-FROM dn LEFT JOIN n USING (item_id, doc_id)"""
-)
+n AS (SELECT item_id, doc_id, {_mm('score', 'item_id', '1.0')} AS score FROM indirect),
+localized AS (
+  SELECT dn.item_id AS report_id, 'Doc' || dn.doc_id AS key,
+         round(CASE WHEN n.score IS NOT NULL THEN 0.8 * dn.score + 0.2 * n.score ELSE dn.score END, 5) AS score
+  FROM dn LEFT JOIN n USING (item_id, doc_id))"""
+
+
+@query(f"WITH {LOCALIZED} SELECT report_id, key, score FROM localized")
 def localized_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole localisation: direct and indirect scores of every report over its pool."""
     name = F.concat(F.lit("corpus.Doc"), F.col("doc_id").cast("string"), F.lit(".java"))
@@ -200,3 +204,36 @@ def localized_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         _vectors_of(spark, sf_dir, "documents", "doc_id").select(name.alias("file"), "vector"),
     )
     return out.withColumn("score", F.round("score", 5))
+
+
+@query(
+    f"""
+WITH {LOCALIZED}
+SELECT 'p' || report_id % 3 AS project_name, report_id, key, score,
+       row_number() OVER (PARTITION BY report_id ORDER BY score DESC NULLS LAST, key) AS rank FROM localized"""
+)
+def ranked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The localised files of every report with their ranks, written a folder a project and read back."""
+    project = F.concat(F.lit("p"), (F.col("item_id") % 3).cast("string")).alias("project_name")
+    reports = data.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("report_id"), project)
+    path = scratch_path(spark, "ranked")
+    writers.localized(localization.ranked(localized_files(spark, sf_dir), reports), path)
+    return spark.read.parquet(path).select("project_name", "report_id", "key", "score", "rank")
+
+
+@query(
+    f"""
+WITH {data.POOL},
+files AS (
+  SELECT match, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 'Doc' || doc_id ELSE 'Doc' || doc_id || '.java' END AS file
+  FROM pool),
+sides AS (SELECT 'candidate' AS side, file FROM files UNION ALL SELECT 'fix', file FROM files WHERE match = 1)
+SELECT side, CASE WHEN file IS NULL THEN 'no file' ELSE 'no stem' END AS reason, count(*) AS n
+FROM sides WHERE file IS NULL OR file NOT LIKE '%.%' GROUP BY ALL"""
+)
+def files_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates and fixes that localisation leaves out, counted by reason."""
+    number = F.concat(F.lit("Doc"), F.col("doc_id").cast("string"))
+    file = F.when(F.col("doc_id") % 7 != 0, F.when(F.col("doc_id") % 5 == 0, number).otherwise(F.concat(number, F.lit(".java"))))
+    pool = data.pool(spark, sf_dir).select(F.col("item_id").alias("report_id"), file.alias("file"), "match")
+    return localization.left_out(pool, pool.where(F.col("match") == 1))
