@@ -10,8 +10,8 @@ from faultsift.session import stage
 
 #: Share of a host's pages over which a line is boilerplate.
 RATIO = 0.1
-#: Pages a line must stand on; below that a share says nothing.
-LEAST_PAGES = 5
+#: Pages a line must stand on, whatever its share: what one page alone holds repeats nothing.
+LEAST_PAGES = 2
 
 
 def _lines(text: Column) -> Column:
@@ -30,7 +30,8 @@ def _stripped(line: Column) -> Column:
 def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, line, pages, host_pages) of the lines on more than `ratio` of a host's pages.
 
-    A page counts a line once. A null host is the host ''. Blank lines are no lines. Pages are
+    Every row is a page, also one that repeats; a page counts a line once. A null host is the host ''.
+    The ratio decides alone, but for lines of one page only. Blank lines are no lines. Pages are
     counted with partial aggregates by host and line; only lines on `least_pages` pages meet the
     totals of the hosts.
     """

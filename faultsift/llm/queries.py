@@ -101,7 +101,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals AS (SELECT coalesce(source, '') AS host, count(*) AS host_pages FROM documents GROUP BY 1),
     frequent AS (
       SELECT host, bare FROM stripped JOIN totals USING (host) WHERE bare <> '' GROUP BY host, bare, host_pages
-      HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) > 0.1 * host_pages),
+      HAVING count(DISTINCT doc_id) >= 2 AND count(DISTINCT doc_id) > 0.1 * host_pages),
     marked AS (
       SELECT s.*, f.bare IS NOT NULL AS gone FROM stripped s LEFT JOIN frequent f ON s.host = f.host AND s.bare = f.bare)
     SELECT doc_id, CAST(count(*) FILTER (bare <> '') AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
