@@ -18,13 +18,21 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Forms that are identifiers only in a context that says so.
+#: Tokens with digits, colons or an at-sign that are identifiers only in a context that says so: 7 to
+#: 15 digits or 13 to 19 with a right check digit, however they are separated; hexadecimal groups with
+#: two colons or more; an at-sign, also a written one, between a name and a host. A run of digits is
+#: taken whole or not at all.
+_GAP, _CARD_GAP = r"[ ()./-]", "[ ._/-]"
 LOOSE = {
-    "email": rf"(?<!{_LOCAL}){_LOCAL}++ ?[\[(](?:at|AT)[\])] ?{_LABEL}++(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?){_LABEL}++)++",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9])",
-    "phone": r"(?<![0-9+])(?:00[0-9]{1,3}[ .-])?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "email": rf"(?<!{_LOCAL}){_LOCAL}++(?:@| ?[\[(](?:at|AT)[\])] ?){_LABEL}++(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?){_LABEL}++)*+",
+    "ip": r"(?<![0-9A-Za-z:])(?=:{0,2}[0-9A-Fa-f])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])",
+    "card": rf"(?<![0-9A-Za-z])(?<![0-9]{_CARD_GAP})[0-9](?:{_CARD_GAP}?[0-9]){{12,18}}(?!{_CARD_GAP}?[0-9])(?![A-Za-z])",
+    "phone": rf"(?<![0-9A-Za-z+(])(?<![0-9]{_GAP}{{1,2}})\(?[0-9](?:{_GAP}{{0,2}}[0-9]){{6,14}}(?!{_GAP}{{0,2}}[0-9])(?![A-Za-z])",
 }
+#: What a text has that holds one of them.
+_HINT = r"@|[\[(](?:at|AT)[\])]|[0-9](?:[ ()._/-]{0,2}[0-9]){6}|:[0-9A-Fa-f]{0,4}:"
+#: Characters before and behind an identifier that its contexts are read from.
+BEFORE, BEHIND = 120, 60
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Distinct base identifiers that a context needs, and the confidence from which on a context or
 #: an identifier counts.
@@ -92,6 +100,27 @@ def _starts(lengths: Column) -> Column:
 _SPANS = "array<struct<kind:string,start:int,stop:int,value:string,left:string,right:string>>"
 
 
+def _whole_words(part: Column, before: bool) -> Column:
+    """What stands next to an identifier in `part`, without the word that the length of it cuts."""
+    most, near, cut = (BEFORE, F.right, r"^\S+") if before else (BEHIND, F.left, r"\S+$")
+    return F.when(F.char_length(part) <= most, part).otherwise(F.regexp_replace(near(part, F.lit(most)), cut, ""))
+
+
+def _blocks(spans: Column) -> Column:
+    """Spans in blocks with the range they cover, so that looking for what meets a span opens few."""
+    size = F.ceil(F.sqrt(F.size(spans))).cast("int")
+
+    def block(some: Column) -> Column:
+        return F.struct(
+            F.array_min(F.transform(some, lambda s: s["start"])).alias("start"),
+            F.array_max(F.transform(some, lambda s: s["stop"])).alias("stop"),
+            some.alias("spans"),
+        )
+
+    cut = F.transform(F.sequence(F.lit(0), F.size(spans) - 1, size), lambda at: _let(F.slice(spans, at + 1, size), block))
+    return F.when(F.size(spans) > 0, cut).otherwise(F.array().cast(f"array<struct<start:int,stop:int,spans:{_SPANS}>>"))
+
+
 def _matches(text: Column, kind: str, pattern: str, test) -> Column:
     """kind, start, stop, value and the characters around of every match that passes `test`."""
     marked = F.regexp_replace(F.translate(text, MARK, OTHER), pattern, f"{MARK}$0{MARK}")
@@ -104,8 +133,8 @@ def _matches(text: Column, kind: str, pattern: str, test) -> Column:
             F.get(starts, i).alias("start"),
             (F.get(starts, i) + F.char_length(value)).alias("stop"),
             value.alias("value"),
-            F.right(F.get(parts, i - 1), F.lit(60)).alias("left"),
-            F.left(F.get(parts, i + 1), F.lit(30)).alias("right"),
+            _whole_words(F.get(parts, i - 1), before=True).alias("left"),
+            _whole_words(F.get(parts, i + 1), before=False).alias("right"),
         )
 
     def spans(parts: Column) -> Column:
@@ -122,20 +151,26 @@ def found_spans(text: Column) -> Column:
     plain = F.coalesce(text, F.lit(""))
     none, digit = F.array().cast(_SPANS), plain.rlike("[0-9]")
     needs = {"email": plain.contains("@"), "ip": digit, "card": digit, "phone": plain.contains("+")}
-    hint = plain.rlike(r"[\[(](?:at|AT)[\])]|[0-9]{3}[ .)/_-]{1,2}[0-9]{3}|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:")
+    hint = plain.rlike(_HINT)
     base = [F.when(needs[k], _matches(plain, k, BASE[k], lambda v, k=k: valid(k, v))).otherwise(none) for k in KINDS]
     right = {"card": lambda v: luhn(_digits(v))}
     loose = [F.when(hint, _matches(plain, k, LOOSE[k], right.get(k, lambda v: F.lit(True)))).otherwise(none) for k in KINDS]
 
     def apart(spans: Column) -> Column:
-        meets = lambda c: F.exists(spans, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-        return F.struct(spans.alias("base"), F.filter(F.concat(*loose), lambda c: ~meets(c)).alias("loose"))
+        meet = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
+        free = lambda blocks: F.filter(
+            F.concat(*loose), lambda c: ~F.exists(blocks, lambda b: meet(b, c) & F.exists(b["spans"], lambda s: meet(s, c)))
+        )
+        return F.struct(spans.alias("base"), _let(_blocks(spans), free).alias("loose"))
 
     return _let(F.concat(*base), apart)
 
 
 def _contexts(span: Column) -> Column:
-    """The lexical patterns around an identifier: two words before it; the words before and behind it."""
+    """The lexical patterns around an identifier: two words before it; the words before and behind it.
+
+    A word that does not fit into BEFORE or BEHIND characters is no part of a pattern.
+    """
     before = F.split(F.trim(F.regexp_replace(F.lower(span["left"]), r"\s+", " ")), " ")
     behind = F.get(F.split(F.trim(F.regexp_replace(F.lower(span["right"]), r"\s+", " ")), " "), F.lit(0))
     plain = lambda c: F.regexp_replace(c, "[0-9]", "0")
