@@ -128,21 +128,21 @@ def ranking_samples(
     return both.join(complete, bug, "left_semi").select(*candidates.columns)
 
 
-def _bug_counts(candidates: DataFrame, bug: str) -> DataFrame:
-    return candidates.groupBy(bug).agg(
+def _bug_counts(candidates: DataFrame, *bug: str) -> DataFrame:
+    return candidates.groupBy(*bug).agg(
         F.sum((F.col("match") == 1).cast("int")).alias("_pos"),
         F.sum((F.col("match") == 0).cast("int")).alias("_neg"),
     )
 
 
-def skipped_bugs(candidates: DataFrame, bug: str, negatives: int) -> DataFrame:
-    """Number of bugs `ranking_samples` leaves out, per reason."""
+def skipped_bugs(candidates: DataFrame, bug: str, negatives: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Number of bugs `ranking_samples` leaves out, per reason and value of the columns `by`."""
     reason = F.when(F.col("_pos") == 0, F.lit("no positive")).when(
         F.col("_neg") < negatives, F.lit("too few negatives")
     )
     return (
-        _bug_counts(candidates, bug).select(reason.alias("reason")).where(F.col("reason").isNotNull())
-        .groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+        _bug_counts(candidates, *by, bug).select(*by, reason.alias("reason")).where(F.col("reason").isNotNull())
+        .groupBy(*by, "reason").agg(F.count(F.lit(1)).alias("n"))
     )
 
 

@@ -123,3 +123,34 @@ def ranking_samples(
     """One match and n non-matches per bug among the rows that fit the ranker."""
     fitting = interactions.fitting(candidates, report, code, query_max, code_max)
     return sampling.ranking_samples(fitting, "bug_id", "cid", negatives, seed)
+
+
+def left_out_samples(candidates: DataFrame, query_max: int, code_max: int, negatives: int, report: str, code: str) -> DataFrame:
+    """Rows (layout, unit, reason, n) of what has no sample: candidates without texts or with too long ones, bugs."""
+    reason = F.when(F.col(report).isNull() | F.col(code).isNull(), "no text").when(
+        (F.size(report) > query_max) | (F.size(code) > code_max), "too many words"
+    )
+    rows = candidates.select(*writers.LAYOUT, F.lit("candidate").alias("unit"), reason.alias("reason"))
+    rows = rows.where(F.col("reason").isNotNull()).groupBy(*writers.LAYOUT, "unit", "reason").agg(F.count(F.lit(1)).alias("n"))
+    fitting = interactions.fitting(candidates, report, code, query_max, code_max)
+    bugs = sampling.skipped_bugs(fitting, "bug_id", negatives, tuple(writers.LAYOUT))
+    return rows.unionByName(bugs.withColumn("unit", F.lit("bug")))
+
+
+def add_sample_folders(
+    candidates: DataFrame, path: str, query_max: int, code_max: int, negatives: int, seed: str = "0",
+    report: str = "report_processed", code: str = "file_content_processed",
+) -> None:
+    """Write the ranking samples of every (data_setting, project_name, split) that `path` does not have yet.
+
+    `candidates` has these columns, bug_id, cid, match and two token lists. Per bug of a folder one match
+    and `negatives` random non-matches among the rows that fit the ranker go to path/samples; what is left
+    out is counted by reason in path/rejects, written before. Folders of samples that exist are not
+    read, drawn anew or changed; a folder without samples is worked on again, with the same rejects.
+    """
+    new = writers.without_folders(candidates, f"{path}/samples")
+    writers.folders(left_out_samples(new, query_max, code_max, negatives, report, code), f"{path}/rejects")
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*writers.LAYOUT, "bug_id")])
+    fitting = interactions.fitting(new, report, code, query_max, code_max).withColumn("_sample", key)
+    drawn = sampling.ranking_samples(fitting, "_sample", "cid", negatives, seed)
+    writers.folders(drawn.drop("_sample"), f"{path}/samples")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultsift.session import path_exists
 from faultsift.sources.schemas import FEATURE_COLUMNS
 
+#: Folders of a data set that are broadcast at most, after they are counted.
+FOLDERS = 10_000
 LAYOUT = ["data_setting", "project_name", "split"]
 
 
@@ -21,6 +24,29 @@ def data_set(df: DataFrame, path: str) -> None:
     table(df, path, LAYOUT)
 
 
+def without_folders(df: DataFrame, path: str, layout: list[str] | None = None) -> DataFrame:
+    """Rows of `df` whose folder below `path` does not exist yet; all of them where `path` does not.
+
+    Folders appear when the job that writes them ends, so one that exists is whole. A null in a layout
+    column is a folder like any other.
+    """
+    layout = layout or LAYOUT
+    spark = df.sparkSession
+    if not path_exists(spark, path):
+        return df
+    names = [f"_there{i}" for i in range(len(layout))]
+    there = spark.read.schema(df.select(*layout).schema).parquet(path).distinct().toDF(*names)
+    there = F.broadcast(there) if there.count() <= FOLDERS else there
+    same = [F.col(own).eqNullSafe(F.col(name)) for own, name in zip(layout, names, strict=True)]
+    return df.join(there, same, "left_anti")
+
+
+def folders(df: DataFrame, path: str, layout: list[str] | None = None) -> None:
+    """Parquet in folders; those that `df` has rows of are replaced, all others stay as they are."""
+    layout = layout or LAYOUT
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*layout).parquet(path)
+
+
 def delimited(df: DataFrame, path: str, sep: str = ",") -> None:
     """Delimited text with a header; white space of the values is kept."""
     (

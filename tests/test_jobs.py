@@ -239,3 +239,26 @@ def test_files_without_a_stem_are_counted(spark):
     candidates = spark.createDataFrame([("r", "a/B.java"), ("r", "LICENSE"), ("r", None), ("s", "LICENSE")], "report_id string, file string")
     got = rows(localization.left_out(candidates, candidates.limit(1)), "side", "reason", "n")
     assert got == [("candidate", "no file", 1), ("candidate", "no stem", 2)]
+
+
+def test_sample_folders_that_exist_stay(spark, tmp_path):
+    """A second run adds the missing folders only; nulls, long texts and bugs without samples are counted."""
+    columns = "data_setting string, project_name string, split string, bug_id int, cid int, match int, report_processed array<string>, file_content_processed array<string>"
+    whole = lambda project, bug: [("s", project, "train", bug, c, int(c == 0), ["a"], ["b"]) for c in range(6)]
+    first = whole("1", 1) + [("s", "1", "train", 2, 0, 1, None, ["b"]), ("s", "1", "train", 2, 1, 0, ["a"] * 9, ["b"]), ("s", "1", "train", 2, 2, 0, ["a"], ["b"])]
+    more = whole("1", 5) + whole(None, 7) + whole("2", 8)[:3]
+    path = str(tmp_path / "set")
+
+    def rows(name):
+        return sorted(map(tuple, spark.read.schema(spark.read.parquet(f"{path}/{name}").schema).parquet(f"{path}/{name}").collect()), key=repr)
+
+    for chosen, seed in ((first, "0"), (first + more, "1"), ((first + more)[:0], "2")):
+        before = rows("samples") if chosen is not first else []
+        datasets.add_sample_folders(spark.createDataFrame(chosen, columns), path, 4, 4, 3, seed)
+        assert [r for r in rows("samples") if r in before] == before
+    got = spark.read.parquet(f"{path}/samples").groupBy("bug_id").count().collect()
+    assert {tuple(r) for r in got} == {(1, 4), (7, 4)}
+    rejects = spark.read.parquet(f"{path}/rejects").select("project_name", "unit", "reason", "n").collect()
+    assert {tuple(r) for r in rejects} == {
+        (1, "candidate", "no text", 1), (1, "candidate", "too many words", 1), (1, "bug", "no positive", 1), (2, "bug", "too few negatives", 1)
+    }
