@@ -19,9 +19,11 @@ CUTOFF = 35.9
 LEAST = 50
 #: Concentration steps.
 STEPS = 4
-#: Least standard deviations, in transformed units, that count as a difference at all: of the log
-#: of words, log of word length, signs a word, repeated lines a word, share of repeated words.
-FLOORS = (0.5, 0.06, 0.05, 0.01, 0.15)
+#: Standard deviations, in transformed units, that stand in for smaller ones: of the log of words, log
+#: of word length, signs a word, repeated lines a word, share of repeated words. Most texts repeat
+#: nothing and hold no signs; without them every text that does would be an outlier. Each is small enough
+#: that its number alone can reject within what the base rules leave.
+FLOORS = (0.5, 0.06, 0.05, 0.01, 0.07)
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -100,8 +102,8 @@ def _groups(column: str) -> Column:
 def _estimate(rows: DataFrame, factor: float) -> DataFrame:
     """By group and start: mean, inverse and log determinant of `factor` times the covariance.
 
-    All sums are partial aggregates. The floors are added to the diagonal, so that a number that
-    hardly varies has an inverse and a meaningless difference in it no weight.
+    All sums are partial aggregates. A variance below the square of its floor is raised to it, so that a
+    number that hardly varies has an inverse and a meaningless difference in it no weight; others stay.
     """
     x, p = F.col("x"), len(FLOORS)
     sums = [F.avg(x[i]).alias(f"m{i}") for i in range(p)]
@@ -119,7 +121,9 @@ def _inverted(found: DataFrame) -> DataFrame:
     def inverse(matrices: pd.Series) -> pd.DataFrame:
         out = []
         for m in matrices:
-            whole = np.array(m, float).reshape(p, p) + np.diag(np.square(FLOORS))
+            whole = np.array(m, float).reshape(p, p)
+            least = np.square(FLOORS)  # a millionth of it is added anyway, for numbers that follow from others
+            whole += np.diag(np.maximum(0, least - whole.diagonal()) + 1e-6 * least)
             out.append((np.linalg.inv(whole).ravel().tolist(), float(np.linalg.slogdet(whole)[1])))
         return pd.DataFrame(out, columns=["inverse", "logdet"])
 

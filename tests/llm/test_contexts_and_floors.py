@@ -5,10 +5,11 @@ import random
 from collections import defaultdict
 
 import brute
+import numpy as np
 import regex
 from pyspark.sql import functions as F
 
-from faultsift.llm import boilerplate, contextual_pii
+from faultsift.llm import boilerplate, contextual_pii, outliers
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -114,3 +115,63 @@ def test_ratio_decides_on_small_hosts(spark):
     got = {r.doc_id: r.text for r in boilerplate.without_boilerplate(spark.createDataFrame(pages, SCHEMA)).collect()}
     assert [got[i] for i in range(4)] == [f"own {i}" for i in range(4)]
     assert got[9] == "only\nonly" and got[20] == "twice\nrow 0"
+
+
+def _invertible(cover: np.ndarray) -> np.ndarray:
+    least = np.array(outliers.FLOORS) ** 2
+    out = cover.copy()
+    for i, floor in enumerate(least):
+        out[i, i] = max(out[i, i], floor) + floor / 1e6
+    return out
+
+
+def _distances(rows: np.ndarray, mean: np.ndarray, cover: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", rows - mean, np.linalg.solve(cover, (rows - mean).T).T)
+
+
+def robust_distances(rows: np.ndarray) -> np.ndarray:
+    """Distances of the rows by the minimum covariance determinant of the distinct ones."""
+    some = np.unique(rows, axis=0)
+    low, middle, high = np.quantile(some, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+    starts = [(middle, np.diag(((high - low) / 1.349) ** 2)), (some.mean(0), np.cov(some.T, bias=True))]
+    ends = []
+    for mean, cover in starts:
+        cover = _invertible(cover)
+        for _ in range(outliers.STEPS):
+            d = _distances(some, mean, cover)
+            near = some[d <= np.quantile(d, outliers.COVERAGE, method="inverted_cdf")]
+            mean, cover = near.mean(0), _invertible(1.412 * np.cov(near.T, bias=True))
+        ends.append((np.linalg.slogdet(cover)[1], mean, cover))
+    _, mean, cover = min(ends, key=lambda e: e[0])
+    near = some[_distances(some, mean, cover) <= 12.83]
+    return _distances(rows, near.mean(0), _invertible(1.055 * np.cov(near.T, bias=True)))
+
+
+def test_verdict_against_a_second_estimate(spark):
+    rng = random.Random(8)
+
+    def text(i: int) -> str:
+        out = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(60, 400))]
+        out = [w + "#" * (i % 11 == 0) * rng.randint(0, 3) for w in out]
+        return " ".join(out + out[: len(out) * (i % 7 == 0) // rng.randint(4, 9)])
+
+    texts = [text(i) for i in range(240)]
+    even = " ".join(f"w{i:04d}" for i in range(110))
+    texts.append(even + " " + " ".join(f"v{i:04d}" for i in range(45)) + " " + " ".join(f"v{i:04d}" for i in range(45)))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in outliers.judged_documents(docs).collect()}
+    n = np.array([brute.counts(t) for t in texts], float)
+    vectors = np.column_stack([np.log(n[:, 0]), np.log(n[:, 1] / n[:, 0]), n[:, 2] / n[:, 0], n[:, 3] / n[:, 0], n[:, 4] / n[:, 0]])
+    want = robust_distances(vectors)
+    assert np.allclose([got[i].distance for i in range(len(texts))], want, rtol=1e-6, atol=1e-9)
+    assert [got[i].kept for i in range(len(texts))] == [not r for r in want > outliers.CUTOFF]
+    assert 0 < sum(want > outliers.CUTOFF) < 60
+
+
+def test_many_repeats_alone_reject(spark):
+    own = lambda i, n: [f"w{i}x{k}" for k in range(n)]
+    texts = [" ".join(own(i, 80 + i % 40)) for i in range(300)]
+    texts.append(" ".join(own(900, 60) + own(901, 25) + own(901, 25)))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id for r in outliers.judged_documents(docs).where("NOT kept AND NOT base_failed").collect()}
+    assert got == {300}
