@@ -10,6 +10,7 @@ from faultsift.catalog.registry import query
 from faultsift.functions import paths, text
 from faultsift.operators import tables
 from faultsift.operators.running import id_block
+from faultsift.operators.skew import unsent
 from faultsift.plans import datasets
 
 
@@ -99,7 +100,7 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("report_id"), F.col("l_partkey").alias("cid"), "l_linenumber", "l_suppkey",
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("match"),
     )
-    return items.join(orders, "report_id")
+    return items.join(unsent(orders), "report_id")
 
 
 def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:

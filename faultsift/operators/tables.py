@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultsift.operators.skew import unsent
+
 
 def in_project(df: DataFrame, project: str) -> DataFrame:
     """Add the project as a column."""
@@ -47,21 +49,21 @@ def with_content(features: DataFrame, contents: DataFrame, keys: list[str] | Non
     Keyed by project and cid: cid alone repeats across projects.
     """
     keys = keys or ["project_name", "cid"]
-    return features.join(contents, keys)
+    return features.join(unsent(contents), keys)
 
 
 def with_reports(candidates: DataFrame, reports: DataFrame) -> DataFrame:
     """Inner join on reports.id = candidates.report_id, within the project where both sides name one."""
     keyed = reports.withColumnRenamed("id", "report_id")
     both_name_it = "project_name" in keyed.columns and "project_name" in candidates.columns
-    return candidates.join(keyed, ["report_id", "project_name"] if both_name_it else ["report_id"])
+    return candidates.join(unsent(keyed), ["report_id", "project_name"] if both_name_it else ["report_id"])
 
 
 def qualified(sources: DataFrame, mapping: DataFrame) -> DataFrame:
     """Sources with bug_id, commit and match of the mapping, joined on project and cid."""
     keys = ["project_name", "cid"]
     columns = mapping.select(*keys, "bug_id", "commit", "match")
-    return sources.join(columns, keys).select(
+    return sources.join(unsent(columns), keys).select(
         *sources.columns, "bug_id", "commit", "match"
     )
 
