@@ -31,13 +31,16 @@ edges AS (SELECT d.doc_hash, s.node_idx AS src, d.node_idx AS dst FROM nodes d J
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = data.texts(spark, sf_dir, "documents", "text")
     distinct = tables.distinct_contents(docs, "text")
-    tokens = distinct.select("doc_hash", F.posexplode(identifier_tokens(F.col("text"))).alias("idx", "token"))
-    placed = tokens.withColumn("idx", F.col("idx").cast("bigint"))
-    return graphs.linked_uses(placed.withColumn("is_def", F.pmod(F.col("idx"), F.lit(2)) == 0))
+    token = lambda t, i: F.struct(
+        i.cast("bigint").alias("idx"), t.alias("token"), (F.pmod(i, F.lit(2)) == 0).alias("is_def")
+    )
+    listed = distinct.select("doc_hash", F.transform(identifier_tokens(F.col("text")), token).alias("tokens"))
+    return graphs.linked_uses(listed)
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(graphs.pruned(stage(graphs.entries_from_links(_linked(spark, sf_dir)))))
+    """Pruned entries, one row per document."""
+    return graphs.pruned(graphs.entries_from_links(_linked(spark, sf_dir)))
 
 
 def _per_graph(df: DataFrame, *sums: str) -> DataFrame:
@@ -53,7 +56,7 @@ SELECT doc_hash, count(*) AS n, count(src) AS links, coalesce(sum(src), 0)::BIGI
 )
 def linked_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of occurrences to their latest definition, summed up per graph."""
-    return _linked(spark, sf_dir).groupBy("doc_hash").agg(
+    return graphs.opened(_linked(spark, sf_dir)).groupBy("doc_hash").agg(
         F.count(F.lit(1)).alias("n"), F.count("src").alias("links"), F.coalesce(F.sum("src"), F.lit(0)).alias("sum_src")
     )
 
@@ -61,7 +64,7 @@ def linked_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PRUNED} SELECT doc_hash, count(*) AS n, sum(idx)::BIGINT AS sum_idx FROM pruned GROUP BY 1")
 def pruned_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries with a source or a use."""
-    return _per_graph(_entries(spark, sf_dir), "idx")
+    return _per_graph(graphs.opened(_entries(spark, sf_dir)), "idx")
 
 
 @query(
@@ -71,7 +74,7 @@ SELECT doc_hash, count(*) AS n, sum(node_idx * idx)::BIGINT AS sum_place FROM no
 )
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes numbered in token order."""
-    nodes = graphs.nodes(_entries(spark, sf_dir))
+    nodes = graphs.opened(graphs.nodes(_entries(spark, sf_dir)))
     return _per_graph(nodes.withColumn("place", F.col("node_idx") * F.col("idx")), "place")
 
 
@@ -82,8 +85,8 @@ SELECT doc_hash, count(*) AS n, sum(src)::BIGINT AS sum_src, sum(dst)::BIGINT AS
 )
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges between node numbers."""
-    entries = _entries(spark, sf_dir)
-    return _per_graph(graphs.edges(entries, stage(graphs.nodes(entries))), "src", "dst")
+    nodes = graphs.nodes(_entries(spark, sf_dir))
+    return _per_graph(graphs.opened(graphs.edges(nodes, nodes)), "src", "dst")
 
 
 @query(
@@ -95,11 +98,10 @@ FROM nodes n GROUP BY doc_hash"""
 )
 def capped_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graphs cut to the input size of a graph model."""
-    entries = _entries(spark, sf_dir)
-    nodes = stage(graphs.nodes(entries))
-    few, arrows = graphs.capped(nodes, graphs.edges(entries, nodes))
-    n = few.groupBy("doc_hash").agg(F.count(F.lit(1)).alias("nodes"))
-    e = arrows.groupBy("doc_hash").agg(F.count(F.lit(1)).alias("edges"))
+    nodes = stage(graphs.nodes(_entries(spark, sf_dir)))
+    few, arrows = graphs.capped(nodes, graphs.edges(nodes, nodes))
+    n = graphs.opened(few).groupBy("doc_hash").agg(F.count(F.lit(1)).alias("nodes"))
+    e = graphs.opened(arrows).groupBy("doc_hash").agg(F.count(F.lit(1)).alias("edges"))
     return n.join(e, "doc_hash", "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
 
 
@@ -114,8 +116,8 @@ def node_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     distinct = tables.distinct_contents(data.texts(spark, sf_dir, "documents", "text"), "text")
     tf = terms.term_frequencies(distinct, ["doc_hash"], identifier_tokens(F.col("text")))
     known = terms.document_frequencies(tf).where(F.col("df") > 5)
-    nodes = graphs.nodes(_entries(spark, sf_dir))
-    return _per_graph(graphs.node_ids(nodes, terms.vocabulary_ids(known), 1), "token_id")
+    nodes = graphs.opened(graphs.nodes(_entries(spark, sf_dir)))
+    return _per_graph(graphs.node_ids(nodes, stage(terms.vocabulary_ids(known)), 1), "token_id")
 
 
 @query(
@@ -147,9 +149,9 @@ SELECT n.doc_hash, count(*) AS nodes, (SELECT count(*) FROM edges e WHERE e.doc_
 )
 def graph_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graphs as JSON documents, read back."""
-    entries = _entries(spark, sf_dir)
-    nodes = stage(graphs.nodes(entries))
-    docs = writers.graphs_json(nodes, graphs.edges(entries, nodes))
+    nodes = graphs.nodes(_entries(spark, sf_dir))
+    whole = graphs.edges(nodes, nodes)
+    docs = writers.graphs_json(whole, whole)
     parsed = docs.select("doc_hash", F.from_json("graph", "nodes array<string>, edges array<array<bigint>>").alias("g"))
     return parsed.select(
         "doc_hash",

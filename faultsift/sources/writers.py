@@ -144,11 +144,18 @@ def missing_from(df: DataFrame, existing: DataFrame, keys: list[str]) -> DataFra
 def graphs_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One JSON document per graph: {"nodes": [...], "edges": [[src...], [dst...]]}.
 
-    A graph is that of one source file.
+    A graph is that of one source file. Listed edges hold their nodes; given as both tables, they are not
+    joined with themselves.
     """
-    n = nodes.groupBy("doc_hash").agg(F.array_sort(F.collect_list(F.struct("node_idx", "token"))).alias("_n"))
-    e = edges.groupBy("doc_hash").agg(F.array_sort(F.collect_list(F.struct("dst", "src"))).alias("_e"))
-    joined = n.join(e, "doc_hash", "left")
+    if "nodes" in nodes.columns:
+        listed_nodes = F.array_sort(F.transform("nodes", lambda x: F.struct(x.node_idx, x.token.alias("token")))).alias("_n")
+        listed_edges = F.array_sort(F.transform("edges", lambda x: F.struct(x.dst.alias("dst"), x.src.alias("src")))).alias("_e")
+        n = nodes.where(F.size("nodes") > 0).select("doc_hash", *([listed_nodes, listed_edges] if nodes is edges else [listed_nodes]))
+        e = edges.select("doc_hash", listed_edges)
+    else:
+        n = nodes.groupBy("doc_hash").agg(F.array_sort(F.collect_list(F.struct("node_idx", "token"))).alias("_n"))
+        e = edges.groupBy("doc_hash").agg(F.array_sort(F.collect_list(F.struct("dst", "src"))).alias("_e"))
+    joined = n if nodes is edges else n.join(e, "doc_hash", "left")
     none = F.array().cast("array<bigint>")
     both = F.array(F.coalesce("_e.src", none), F.coalesce("_e.dst", none))
     return joined.select(
