@@ -24,6 +24,8 @@ SMALL, HEADS = 32, 4
 PART = 2048
 #: Slots in which shingles are counted to find the rarest of a text; any order of them gives right results.
 SLOTS = 1 << 20
+#: Ranges of slots that a task's counts are handed on by, one row a range.
+RANGES = 256
 #: Bits of the sketches that texts of large buckets compare before their sets are fetched, and the standard
 #: deviations that two texts of just the similarity may fall short (once in a billion pairs they do).
 BITS, DEVIATIONS = 2048, 6.0
@@ -217,7 +219,15 @@ def _unfinished(labelled: DataFrame) -> DataFrame:
 
 
 def _holders(sets: DataFrame) -> np.ndarray:
-    """How many texts hold a shingle of each slot, a slot being the last bits of a hash; SLOTS numbers."""
+    """How many texts hold a shingle of each slot, a slot being the last bits of a hash; SLOTS numbers.
+
+    A task hands on the counts of a range of slots as one row, so rows follow tasks, not shingles.
+    """
+
+    width = SLOTS // RANGES
+
+    def listed(ranges: list[int], slots: list[np.ndarray], n: list[np.ndarray]) -> list[pa.Array]:
+        return [pa.array(ranges, pa.int32()), pa.array(slots, pa.list_(pa.int64())), pa.array(n, pa.list_(pa.int64()))]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, "int64")
@@ -225,11 +235,24 @@ def _holders(sets: DataFrame) -> np.ndarray:
             values = batch.column(0).flatten().to_numpy(zero_copy_only=False)
             counts += np.bincount(values & (SLOTS - 1), minlength=SLOTS)
         found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["slot", "n"])
+        ranges, starts = np.unique(found // width, return_index=True)
+        slots = np.split(found, starts[1:]) if len(found) else []
+        yield pa.RecordBatch.from_arrays(listed(ranges.tolist(), slots, [counts[s] for s in slots]), ["range", "slots", "n"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        counts, low = np.zeros(width, "int64"), rows.column("range")[0].as_py() * width
+        for batch in rows.to_batches():
+            slots, n = (batch.column(c).flatten().to_numpy() for c in ("slots", "n"))
+            np.add.at(counts, slots - low, n)
+        found = np.flatnonzero(counts)
+        return pa.Table.from_arrays(listed([low // width], [found + low], [counts[found]]), ["range", "slots", "n"])
 
-    summed = sets.select("elements").mapInArrow(work, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    schema = "range int, slots array<long>, n array<long>"
+    summed = sets.select("elements").mapInArrow(work, schema).groupBy("range").applyInArrow(add, schema).toArrow()
     holders = np.zeros(SLOTS, "int32")
-    holders[summed.column("slot").to_numpy()] = np.minimum(summed.column("n").to_numpy(), np.iinfo("int32").max)
+    for batch in summed.to_batches():
+        slots, n = (batch.column(c).flatten().to_numpy() for c in ("slots", "n"))
+        holders[slots] = np.minimum(n, np.iinfo("int32").max)
     return holders
 
 
