@@ -9,7 +9,7 @@ from faultsift.catalog import data
 from faultsift.catalog.registry import query
 from faultsift.functions.text import prose_words
 from faultsift.plans import datasets
-from faultsift.session import scratch_path
+from faultsift.session import scratch_path, unstage
 from faultsift.sources import readers, schemas, writers
 
 
@@ -121,12 +121,16 @@ def _two_runs(spark: SparkSession, sf_dir: str) -> str:
         F.pmod("user_id", data.size_of(data.table(spark, sf_dir, "benchmark"))).alias("item_id"),
         F.pmod("event_id", data.size_of(data.table(spark, sf_dir, "documents"))).alias("doc_id"),
     )
-    joined = events.join(reports.withColumnRenamed("tokens", "report_processed"), "item_id")
-    joined = joined.join(files.withColumnRenamed("tokens", "file_content_processed"), "doc_id").drop("item_id", "doc_id")
-    candidates = in_all_settings(joined, F.col("bug_id") % 5 != 0, F.col("bug_id") % 3 != 2)
+    texts = {
+        "report_processed": reports.withColumnRenamed("tokens", "report_processed"),
+        "file_content_processed": files.withColumnRenamed("tokens", "file_content_processed"),
+    }
+    sized = datasets.sized_candidates(events, texts)
+    candidates = in_all_settings(sized, F.col("bug_id") % 5 != 0, F.col("bug_id") % 3 != 2)
     path = scratch_path(spark, "samples")
     for seed, rows in (("0", candidates.where(F.col("project_name") != "p2")), ("1", candidates)):
-        datasets.add_sample_folders(rows, path, QUERY_MAX, CODE_MAX, NEGATIVES, seed)
+        datasets.add_sample_folders(rows, path, QUERY_MAX, CODE_MAX, NEGATIVES, seed, texts=texts)
+    unstage(sized)
     return path
 
 

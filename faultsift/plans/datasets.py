@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from faultsift.functions import text
 from faultsift.functions.stemming import with_stems
 from faultsift.operators import interactions, sampling, tables
+from faultsift.session import stage
 from faultsift.sources import writers
 
 REPORT_KEYS = ["bug_id", "commit", "project_name"]
@@ -128,7 +129,7 @@ def ranking_samples(
 def left_out_samples(candidates: DataFrame, query_max: int, code_max: int, negatives: int, report: str, code: str) -> DataFrame:
     """Rows (layout, unit, reason, n) of what has no sample: candidates without texts or with too long ones, bugs."""
     reason = F.when(F.col(report).isNull() | F.col(code).isNull(), "no text").when(
-        (F.size(report) > query_max) | (F.size(code) > code_max), "too many words"
+        (interactions.length(candidates, report) > query_max) | (interactions.length(candidates, code) > code_max), "too many words"
     )
     rows = candidates.select(*writers.LAYOUT, F.lit("candidate").alias("unit"), reason.alias("reason"))
     rows = rows.where(F.col("reason").isNotNull()).groupBy(*writers.LAYOUT, "unit", "reason").agg(F.count(F.lit(1)).alias("n"))
@@ -137,9 +138,39 @@ def left_out_samples(candidates: DataFrame, query_max: int, code_max: int, negat
     return rows.unionByName(bugs.withColumn("unit", F.lit("bug")))
 
 
+def sized_candidates(candidates: DataFrame, texts: Mapping[str, DataFrame]) -> DataFrame:
+    """Candidates with the length of each text in place of its token list, stored, the rows of a bug together.
+
+    `texts` maps the name of a token list to its table (key, list); `candidates` has the keys. A digest tells
+    texts of the same key apart. Lists are many times as long as a candidate, so they are joined to what is
+    drawn only; with the rows of a bug in one place, draws and counts are nearly done before they are shuffled.
+    """
+    joined = candidates
+    for column, listed in texts.items():
+        joined = joined.join(_digested(listed, column).withColumn(column, F.size(column)), _text_key(listed, column))
+    return stage(joined.repartition("bug_id"), "candidates")
+
+
+def _text_key(listed: DataFrame, column: str) -> str:
+    return next(c for c in listed.columns if c != column)
+
+
+def _digested(listed: DataFrame, column: str) -> DataFrame:
+    return listed.withColumn(f"_{column}", F.xxhash64(column, F.size(column)))
+
+
+def _with_lists(drawn: DataFrame, texts: Mapping[str, DataFrame], longest: Mapping[str, int]) -> DataFrame:
+    """Token lists in place of the lengths that `sized_candidates` gave; none is longer than `longest`."""
+    for column, listed in texts.items():
+        keys = [_text_key(listed, column), f"_{column}"]
+        short = listed.where(F.size(column) <= longest[column])
+        drawn = drawn.drop(column).join(_digested(short, column).dropDuplicates(keys), keys).drop(*keys)
+    return drawn
+
+
 def add_sample_folders(
     candidates: DataFrame, path: str, query_max: int, code_max: int, negatives: int, seed: str = "0",
-    report: str = "report_processed", code: str = "file_content_processed",
+    report: str = "report_processed", code: str = "file_content_processed", texts: Mapping[str, DataFrame] | None = None,
 ) -> None:
     """Write the ranking samples of every (data_setting, project_name, split) that `path` does not have yet.
 
@@ -147,10 +178,12 @@ def add_sample_folders(
     and `negatives` random non-matches among the rows that fit the ranker go to path/samples; what is left
     out is counted by reason in path/rejects, written before. Folders of samples that exist are not
     read, drawn anew or changed; a folder without samples is worked on again, with the same rejects.
+    Where `texts` has the lists, `candidates` are made of `sized_candidates`.
     """
     new = writers.without_folders(candidates, f"{path}/samples")
     writers.folders(left_out_samples(new, query_max, code_max, negatives, report, code), f"{path}/rejects")
     key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*writers.LAYOUT, "bug_id")])
     fitting = interactions.fitting(new, report, code, query_max, code_max).withColumn("_sample", key)
     drawn = sampling.ranking_samples(fitting, "_sample", "cid", negatives, seed)
-    writers.folders(drawn.drop("_sample"), f"{path}/samples")
+    whole = _with_lists(drawn, texts or {}, {report: query_max, code: code_max})
+    writers.folders(whole.drop("_sample"), f"{path}/samples")

@@ -262,3 +262,26 @@ def test_sample_folders_that_exist_stay(spark, tmp_path):
     assert {tuple(r) for r in rejects} == {
         (1, "candidate", "no text", 1), (1, "candidate", "too many words", 1), (1, "bug", "no positive", 1), (2, "bug", "too few negatives", 1)
     }
+
+
+def test_samples_are_drawn_from_lengths(spark, tmp_path):
+    """Lists joined to what is drawn give the folders that whole candidates give; a key may have two texts."""
+    files = [(c, ["w"] * (c % 6)) for c in range(40)] + [(3, ["x"] * 7), (5, None), (7, ["w"])]
+    texts = {
+        "report_processed": spark.createDataFrame([(0, ["a"]), (1, ["a"] * 9)], "item int, report_processed array<string>"),
+        "file_content_processed": spark.createDataFrame(files, "doc int, file_content_processed array<string>"),
+    }
+    plain = spark.range(400).selectExpr(
+        "'s' AS data_setting", "concat('p', id % 2) AS project_name", "'train' AS split", "cast(id % 10 AS int) AS bug_id", "cast(id AS int) AS cid",
+        "cast(id % 40 < 10 AS int) AS match", "cast(id % 9 = 8 AS int) AS item", "cast(id div 10 AS int) AS doc",
+    )
+    whole = plain.join(texts["report_processed"], "item").join(texts["file_content_processed"], "doc").drop("item", "doc")
+    sized = datasets.sized_candidates(plain, texts)
+    assert not [f for f in sized.schema if f.dataType.typeName() == "array"]
+    found = []
+    for name, candidates, lists in (("whole", whole, None), ("sized", sized, texts)):
+        path = str(tmp_path / name)
+        datasets.add_sample_folders(candidates, path, 4, 4, 3, texts=lists)
+        read = [spark.read.parquet(f"{path}/{part}") for part in ("samples", "rejects")]
+        found.append([sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr) for df in read])
+    assert found[0] == found[1] and found[0][0] and found[0][1]
