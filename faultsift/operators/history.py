@@ -7,14 +7,24 @@ feature is a running sum along the time axis of the file.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from faultsift.functions import measures
+from faultsift.operators.blocks import flat
 from faultsift.operators.running import running
-from faultsift.operators.skew import hot_keys, skew_join
+from faultsift.operators.skew import hot_keys, skew_join, unsent
 from faultsift.session import stage
 
+#: Sums of `measures.pair_cosine` for a report and what came before.
+PAST = ("_dot", "_ls", "_la", "_rs", "_ra")
+
 
 def touches(reports: DataFrame) -> DataFrame:
     """One row per report and fixed file from reports with an array of files."""
@@ -88,10 +98,32 @@ def collaborative_similarity(
 ) -> DataFrame:
     """Similarity of a report to the joined texts of the earlier reports of a file (collab_filter).
 
-    The vector of the joined texts is the running sum of term vectors per (file, term). Its
-    squared length is a running sum as well: adding x to a count s adds 2 s x + x * x.
+    The vector of the joined texts is the running sum of the term vectors of a file. A touch is one row
+    with the counts of its report; a file passes through one task in order of time. Files with very many
+    touches are summed by (file, term) instead, in tasks of a year each.
+    """
+    keys = ["report_id", "file", "report_time"]
+    rows = stage(_axis(touched, asked).na.drop(subset=keys), "touches")
+    hot = stage(hot_keys(rows, ["file"]), "hot")
+    if hot.isEmpty():
+        sums = _past_by_file(rows, report_tf)
+    else:
+        sums = _past_by_file(rows.join(F.broadcast(hot), "file", "left_anti"), report_tf).unionByName(
+            _past_by_term(rows.join(F.broadcast(hot), "file", "left_semi").select(*rows.columns), report_tf)
+        )
+    answers = sums.where(F.col("weight") == (1 if asked is None else 0))
+    value = measures.pair_cosine(*[F.col(c) for c in PAST])
+    similar = answers.select("report_id", "file", value.alias("collab_filter"))
+    answered = (touched if asked is None else asked).join(similar, ["report_id", "file"], "left")
+    return answered.withColumn("collab_filter", F.coalesce("collab_filter", F.lit(0.0)))
+
+
+def _past_by_term(rows: DataFrame, report_tf: DataFrame) -> DataFrame:
+    """`rows` with the sums of PAST, from running sums per (file, term).
+
+    The squared length of the joined texts is a running sum as well: adding x to a count s adds
+    2 s x + x * x.
     """
-    rows = _axis(touched, asked)
     opened = skew_join(rows, report_tf, ["report_id"], hot_keys(rows, ["report_id"]))
     time, s, x, tf = F.col("report_time"), F.col("s"), F.col("x"), F.col("tf").cast("double")
     per_time = opened.groupBy("file", "term", "report_time").agg(F.sum(tf * F.col("weight")).alias("x"))
@@ -111,10 +143,109 @@ def collaborative_similarity(
     )
     growth = sums.groupBy("file", "report_time").agg(F.sum("_g").alias("_growth"))
     lengths = running(growth, ["file"], [time], year(time), sums={"_ra": F.col("_growth")}, inclusive=False)
-    answers = sums.where(F.col("weight") == (1 if asked is None else 0)).join(
-        lengths.drop("_growth"), ["file", "report_time"]
+    joined = sums.join(lengths.drop("_growth"), ["file", "report_time"])
+    return joined.select("report_id", "file", "weight", *PAST)
+
+
+def _past_by_file(rows: DataFrame, report_tf: DataFrame) -> DataFrame:
+    """`rows` with the sums of PAST; equal rows become one, their sums are added. `tf` are counts.
+
+    The rows of a file come in order of time, a batch after the other; what goes from batch to batch is one
+    sum per term of a file and the rows of its last moment.
+    """
+    listed = report_tf.where(F.col("term").isNotNull()).groupBy("report_id").agg(
+        F.collect_list(F.struct("term", F.col("tf").cast("double").alias("tf"))).alias("_t")
     )
-    value = measures.pair_cosine(*[F.col(c) for c in ("_dot", "_ls", "_la", "_rs", "_ra")])
-    similar = answers.select("report_id", "file", value.alias("collab_filter"))
-    answered = (touched if asked is None else asked).join(similar, ["report_id", "file"], "left")
-    return answered.withColumn("collab_filter", F.coalesce("collab_filter", F.lit(0.0)))
+    joined = rows.join(unsent(listed.select("report_id", F.col("_t.term").alias("terms"), F.col("_t.tf").alias("tfs"))), "report_id")
+    columns = ["file", "report_time", "report_id", "weight"]
+    dealt = joined.select(*columns, "terms", "tfs").repartition("file").sortWithinPartitions(*columns)
+    schema = T.StructType([dealt.schema[c] for c in ("report_id", "file", "weight")] + [T.StructField(c, T.DoubleType()) for c in PAST])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, carried = None, None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            table = table.combine_chunks()
+            last = int(np.flatnonzero(_changes(table, columns[:2]))[-1])
+            if last:
+                done, carried = _past_sums(table.slice(0, last), carried, table["file"][last], arrow)
+                yield done
+            held = table.slice(last)
+        if held is not None and held.num_rows:
+            yield _past_sums(held.combine_chunks(), carried, None, arrow)[0]
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _changes(table: pa.Table, columns: list[str]) -> np.ndarray:
+    """Where a row differs from the one before in any of the columns."""
+    out = np.zeros(table.num_rows, bool)
+    out[:1] = True
+    for name in columns:
+        values = table[name].combine_chunks().dictionary_encode().indices.to_numpy()
+        out[1:] |= values[1:] != values[:-1]
+    return out
+
+
+def _runs(flags: np.ndarray) -> np.ndarray:
+    """For every place the start of its run, flags marking the starts."""
+    return np.maximum.accumulate(np.where(flags, np.arange(len(flags)), 0))
+
+
+def _past_sums(table: pa.Table, carried, following, arrow: pa.Schema):
+    """Sums of PAST of the rows, and the sums per term of the last file if `following` is the same file.
+
+    `carried` has (file, terms, sums) of what came before the first file's rows.
+    """
+    table = table.combine_chunks()
+    by_file = _changes(table, ["file"])
+    by_slot = by_file | _changes(table, ["report_time"])
+    by_group = by_slot | _changes(table, ["report_id", "weight"])
+    file, slot, group = (np.cumsum(flags) - 1 for flags in (by_file, by_slot, by_group))
+    weight = table["weight"].to_numpy().astype(float)
+    ends, terms = flat(table["terms"].combine_chunks())
+    tf = np.asarray(flat(table["tfs"].combine_chunks())[1], float)
+    row = np.repeat(np.arange(table.num_rows), np.diff(ends))
+    old_terms, old_sums = (carried[1], carried[2]) if carried and carried[0] == table["file"][0] else (terms.slice(0, 0), np.zeros(0))
+    old = len(old_sums)
+
+    # Entries by (file, term), in order of time; what was carried is before all of the first file.
+    named = pa.concat_arrays([old_terms, terms]).dictionary_encode()
+    code = named.indices.to_numpy()
+    in_file = np.concatenate([np.zeros(old, np.int64), file[row]])
+    in_slot = np.concatenate([np.full(old, -1), slot[row]])
+    x = np.concatenate([old_sums, tf * weight[row]])
+    key = in_file * max(1, len(named.dictionary)) + code
+    order = np.argsort(key, kind="stable")
+    key, at = key[order], in_slot[order]
+    new_key = np.diff(key, prepend=-1) != 0
+    new_slot = new_key | (np.diff(at, prepend=-2) != 0)
+    total = np.concatenate([[0.0], np.cumsum(x[order])])
+    before = total[_runs(new_slot)] - total[_runs(new_key)]
+    s = np.empty(len(x))
+    s[order] = before
+    s = s[old:]
+
+    # Squared length of the sums before every moment.
+    starts = np.flatnonzero(new_slot)
+    added = total[np.append(starts[1:], len(x))] - total[starts] if len(starts) else np.zeros(0)
+    grown = np.cumsum(np.bincount(at[starts] + 1, added * (2 * before[starts] + added), slot[-1] + 2))
+    firsts = np.flatnonzero(by_file)
+    base = np.concatenate([[0.0], grown[slot[firsts[1:]]]])
+    length = grown[slot] - base[file]
+
+    heads, groups = np.flatnonzero(by_group), group[-1] + 1
+    add = lambda values: np.bincount(group[row], values, groups)
+    known = s > 0
+    sums = [add(tf * s), add(np.where(known, tf * tf, 0.0)), add(tf * tf), add(np.where(known, s * s, 0.0)), length[heads]]
+    columns = [table[c].combine_chunks().take(pa.array(heads)) for c in ("report_id", "file", "weight")] + [pa.array(v) for v in sums]
+    done = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    kept = None
+    if following is not None and following == table["file"][-1]:
+        mine = in_file == file[-1]
+        per_term = np.bincount(code[mine], x[mine], len(named.dictionary))
+        found = np.flatnonzero(per_term)
+        kept = (following, named.dictionary.take(pa.array(found)), per_term[found])
+    return done, kept

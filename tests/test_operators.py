@@ -518,3 +518,31 @@ def test_block_similarities_against_pair_cosines(spark, monkeypatch, products):
     for r in got:
         for a, b in zip(r.sims, want[r.report_id, r.file]):
             assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-12)
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_history_by_file_equals_history_by_term(spark, monkeypatch, weighted):
+    """Files that span batches, moments that do, repeated touches, missing times and reports without terms."""
+    rng = random.Random(3)
+    start = dt.datetime(2020, 12, 20)
+    drawn = [(rng.randrange(60), rng.choice("FGH"), start + dt.timedelta(days=rng.randrange(30))) for _ in range(150)]
+    schema = "report_id int, file string, report_time timestamp_ntz"
+    touched = spark.createDataFrame(drawn + drawn[:20] + [(1, "F", None), (2, None, start), (None, "F", start)], schema)
+    asked = spark.createDataFrame([(r, f, start + dt.timedelta(days=r)) for r in range(30) for f in "FZ"], schema) if weighted else None
+    tf = spark.createDataFrame([(r, w, rng.randrange(1, 4)) for r in range(55) for w in rng.sample("abcdefg", 4)], "report_id int, term string, tf bigint")
+    results = []
+    for batch, hot in ((7, 1_000_000), (1_000, 1_000_000), (7, 60), (1_000, 1)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+        monkeypatch.setattr(history, "hot_keys", lambda df, keys, n=hot: skew.hot_keys(df, keys, n))
+        found = history.collaborative_similarity(touched, tf, asked).collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        results.append(sorted((str(r.report_id), str(r.file), str(r.report_time), round(r.collab_filter, 12)) for r in found))
+    assert results[0] == results[1] == results[2] == results[3]
+    assert any(r[3] > 0 for r in results[0])
+
+
+def test_terms_of_touches_are_not_shuffled(spark):
+    """A touch travels as one row, whatever its report has of terms."""
+    _, _, _, touched, tf = history_case(spark, 5)
+    found = history.collaborative_similarity(touched, tf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(file" in found and "term" not in "".join(line for line in found.splitlines() if "hashpartitioning(file" in line)
