@@ -9,6 +9,7 @@ from faultsift.catalog import data
 from faultsift.catalog.registry import query
 from faultsift.operators import interactions, terms
 from faultsift.operators.sampling import hash_number
+from faultsift.session import stage
 
 # Every token has one of the embeddings, picked by its digest.
 TOKEN_VECTORS = """
@@ -34,12 +35,11 @@ def _idf(samples: DataFrame, base: float | None = 2) -> DataFrame:
     return terms.idf_table(tf, samples, base)
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = data.dialogue(spark, sf_dir)
+def _cells(spark: SparkSession, sf_dir: str, form) -> DataFrame:
+    """The interaction matrix of the dialogues in the form of an operator, long or listed."""
+    samples = stage(data.dialogue(spark, sf_dir))
     vectors = _token_vectors(spark, sf_dir, samples)
-    return interactions.matrix(
-        samples, ["conv_id", "turn"], F.col("query"), F.col("code"), vectors, _idf(samples)
-    )
+    return form(samples, ["conv_id", "turn"], F.col("query"), F.col("code"), vectors, _idf(samples))
 
 
 CELLS = f"""
@@ -61,7 +61,7 @@ FROM cells GROUP BY ALL"""
 )
 def interaction_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity and idf of every token pair of a sample, summed up per code position."""
-    return _cells(spark, sf_dir).groupBy("conv_id", "turn", "c_pos").agg(
+    return _cells(spark, sf_dir, interactions.matrix).groupBy("conv_id", "turn", "c_pos").agg(
         F.count(F.lit(1)).alias("cells"),
         F.round(F.max("sim"), 6).alias("best"),
         F.round(F.sum(F.col("sim") * F.col("idf")), 5).alias("weighted"),
@@ -77,7 +77,7 @@ FROM cells, width GROUP BY ALL"""
 )
 def matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matrix as padded arrays, similarity and idf in turn."""
-    rows = interactions.matrix_rows(_cells(spark, sf_dir), ["conv_id", "turn"], 400)
+    rows = interactions.matrix_rows(_cells(spark, sf_dir, interactions.listed_matrix), ["conv_id", "turn"], 400)
     total = F.aggregate("row", F.lit(0.0), lambda a, x: a + x)
     return rows.select(
         "conv_id", "turn", "c_pos", F.round(total, 5).alias("total"),

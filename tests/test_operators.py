@@ -546,3 +546,28 @@ def test_terms_of_touches_are_not_shuffled(spark):
     _, _, _, touched, tf = history_case(spark, 5)
     found = history.collaborative_similarity(touched, tf)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(file" in found and "term" not in "".join(line for line in found.splitlines() if "hashpartitioning(file" in line)
+
+
+def test_blocks_of_samples_equal_joined_pairs(spark, monkeypatch):
+    """Samples of equal keys, words with several vectors, none or one with gaps, null words and lists."""
+    rng = random.Random(11)
+    words = [*"abcdefgh", None]
+    drawn = [(s, [rng.choice(words) for _ in range(rng.randrange(5))], [rng.choice(words) for _ in range(rng.randrange(6))]) for s in [*range(20), 3, 3, 4, None]]
+    samples = spark.createDataFrame([*drawn, (50, None, ["a"]), (51, ["a"], None)], "s int, q array<string>, c array<string>")
+    held = [("a", [1.0, 2.0]), ("a", [0.5, -1.0]), ("b", [2.0, 1.0]), ("c", [0.0, 0.0]), ("d", None), ("e", [1.0, None]), ("f", [3.0, 1.0]), (None, [1.0, 1.0])]
+    vectors = spark.createDataFrame(held, "token string, vector array<double>")
+    idf = spark.createDataFrame([("a", 2.5), ("d", 3.0), ("f", None), ("h", 0.5)], "term string, idf double")
+    pairs = interactions.token_pairs(samples, ["s"], F.col("q"), F.col("c"))
+    joined = pairs.join(interactions.word_similarity(pairs, vectors), ["q_token", "c_token"], "left").join(idf.withColumnRenamed("term", "q_token"), "q_token", "left")
+    expected = joined.select("s", "c_pos", "q_pos", "q_token", "c_token", F.coalesce("sim", F.lit(0.0)).alias("sim"), F.coalesce("idf", F.lit(1.0)).alias("idf"))
+    shown = ["s", "c_pos", "q_pos", "q_token", "c_token", F.round("sim", 9).alias("sim"), "idf"]
+    listing = lambda df: sorted(map(tuple, df.select(*shown).collect()), key=repr)
+    for size, most in ((3, 1 << 18), (100, 4)):
+        monkeypatch.setattr(interactions, "BLOCK_SAMPLES", size)
+        monkeypatch.setattr(interactions, "MOST_CELLS", most)
+        args = (samples, ["s"], F.col("q"), F.col("c"), vectors, idf)
+        assert listing(interactions.matrix(*args)) == listing(expected)
+        rounded = lambda df: sorted((str(r.s), r.c_pos, [round(x, 9) for x in r.row]) for r in interactions.matrix_rows(df, ["s"], 9).collect())
+        assert rounded(interactions.listed_matrix(*args)) == rounded(expected)
+    found = interactions.matrix(*args)._jdf.queryExecution().executedPlan().toString()
+    assert "q_token" not in "".join(line for line in found.splitlines() if "Exchange" in line)
