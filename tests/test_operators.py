@@ -571,3 +571,25 @@ def test_blocks_of_samples_equal_joined_pairs(spark, monkeypatch):
         assert rounded(interactions.listed_matrix(*args)) == rounded(expected)
     found = interactions.matrix(*args)._jdf.queryExecution().executedPlan().toString()
     assert "q_token" not in "".join(line for line in found.splitlines() if "Exchange" in line)
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_dense_cosine_in_cells_equals_joins(spark, kind):
+    """Repeated keys on either side, missing keys, vectors with gaps, none, of no length or of other sizes."""
+    from faultsift.functions import arrays
+
+    rng = random.Random(5)
+    vector = lambda k: [None, [0.0, 0.0], [1.0, None], [1.0], [float("nan"), 1.0]][k] if k < 5 else [rng.uniform(-1, 1), rng.uniform(-1, 1)]
+    left = spark.createDataFrame([(k, vector(k)) for k in [*range(20), 7, 7, 8]], "a int, vector array<float>")
+    right = spark.createDataFrame([(str(k), vector(k)) for k in [*range(20), 9, 9]] + [(None, [1.0, 1.0])], "b string, vector array<float>")
+    drawn = [(rng.randrange(22), str(rng.randrange(22)), i) for i in range(300)] + [(None, "1", 0), (1, None, 0), (7, "9", 1), (7, "9", 1)]
+    pairs = spark.createDataFrame(drawn, "a int, b string, more int")
+    right, pairs = (df.withColumn("b", F.col("b").cast(kind)) for df in (right, pairs))
+    sides = [df.withColumnsRenamed({"vector": f"v{i}"}) for i, df in enumerate((left, right))]
+    expected = pairs.join(sides[0], "a").join(sides[1], "b").withColumn("cosine", arrays.cosine(F.col("v0"), F.col("v1"))).drop("v0", "v1")
+    got = scoring.dense_cosine(pairs, left, right, ["a"], ["b"])
+    assert got.columns == expected.columns
+    listing = lambda df: sorted(((r.a, r.b, r.more, r.cosine if r.cosine is None else round(r.cosine, 9)) for r in df.collect()), key=repr)
+    assert repr(listing(got)) == repr(listing(expected))
+    found = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Join" not in found and found.count("Exchange hashpartitioning") == 1
