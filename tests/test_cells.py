@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from faultsift.operators import cells, skew, terms
+from faultsift.operators import cells, scoring, skew, terms
 
 TF = "k long, term string, tf long"
 
@@ -50,3 +50,19 @@ def test_no_row_per_pair_and_term(spark):
     met = terms.pair_cosine(pairs, tf, tf.withColumnRenamed("l", "r"), ["l"], ["r"])
     joins = re.findall(r"(?:SortMergeJoin|HashJoin) \[[^\]]*", met._jdf.queryExecution().executedPlan().toString())
     assert met.count() == 9 and not any("term" in join for join in joins)
+
+
+@pytest.mark.parametrize("sent", [False, True])
+def test_indirect_scores_of_wanted_keys(spark, sent):
+    rng = random.Random(4)
+    fixes = spark.createDataFrame([(rng.randrange(9), f"k{rng.randrange(60)}") for _ in range(120)], "report_id long, key string")
+    similar = spark.createDataFrame([(a, b, rng.random()) for a in range(9) for b in range(9) if rng.random() < 0.8], "report_id long, other_id long, similarity double")
+    pool = spark.createDataFrame([(rng.randrange(9), f"k{rng.randrange(70)}") for _ in range(90)], "report_id long, key string").distinct()
+    direct = pool.withColumn("score", F.pmod(F.xxhash64("report_id", "key"), F.lit(100)) / 100).localCheckpoint()
+    every = scoring.indirect_scores(similar, fixes)
+    few = scoring.distinct_fixes(fixes)
+    wanted = scoring.indirect_scores(similar, fixes, sent=sent, wanted=pool)
+    whole = scoring.indirect_scores(similar, few, sent=sent)
+    assert few.count() < fixes.distinct().count()
+    assert sorted(wanted.collect()) == sorted(every.join(pool, ["report_id", "key"], "left_semi").collect())
+    assert sorted(scoring.synthesized(direct, wanted, whole).collect()) == sorted(scoring.synthesized(direct, every).collect())
