@@ -39,6 +39,19 @@ def test_nearest_against_all_pairs(spark, seed):
     assert neighbours.nearest(weights.limit(0), "doc", 6).count() == 0
 
 
+def test_pairs_stay_in_the_task_of_their_block(spark, monkeypatch):
+    """All documents share a term; of the pairs only the best of a block leave its task."""
+    monkeypatch.setattr(neighbours, "LEAST_ENTRIES", 100)
+    monkeypatch.setattr(neighbours, "MOST_CELLS", 500)
+    vectors = {i: {"all": 0.0 if i % 50 == 0 else 0.1, f"t{i % 7}": (i % 11) / 20, f"u{i % 13}": 0.5} for i in range(150)}
+    weights = spark.createDataFrame([(i, t, w) for i, v in vectors.items() for t, w in v.items()], "doc long, term string, weight double")
+    assert 150 * 3 < neighbours._met(weights.withColumnRenamed("doc", "id"), 3).count() <= 150 * 3 * 5
+    got = {}
+    for r in neighbours.nearest(weights, "doc", 3).orderBy("doc", "rank").collect():
+        got.setdefault(r.doc, []).append(r.other)
+    assert got == {i: [b for _, b in near] for i, near in all_pairs(vectors, 3).items()}
+
+
 def test_result_files_of_many_shapes(spark, tmp_path):
     root = str(tmp_path / "results")
     schema = "data_setting string, project_name string, split string, map double, mrr double, reports long"
