@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from faultsift.functions import measures
 from faultsift.operators.blocks import flat
 from faultsift.operators.running import running
-from faultsift.operators.skew import hot_keys, skew_join, unsent
+from faultsift.operators.skew import dealt, hot_keys, skew_join, unsent
 from faultsift.session import stage
 
 #: Sums of `measures.pair_cosine` for a report and what came before.
@@ -58,9 +58,12 @@ def prior_activity(touched: DataFrame, asked: DataFrame | None = None) -> DataFr
     touches before them but are seen by none. A row without a file or a time has no earlier
     touches and is earlier than none.
     """
-    time = F.col("report_time")
-    timed = _axis(touched, asked).where(time.isNotNull() & F.col("file").isNotNull())
-    per_time = timed.groupBy("file", "report_time").agg(F.sum("weight").alias("_n"))
+    time, moment = F.col("report_time"), ["file", "report_time"]
+    rows = stage(touched if asked is None else asked, "asked")
+    real = rows if asked is None else stage(touched.select("report_id", *moment), "touches")
+    size = rows.count() if asked is None else rows.count() + real.count()
+    timed = _axis(real, None if asked is None else rows).where(time.isNotNull() & F.col("file").isNotNull())
+    per_time = dealt(timed.select(*moment, "weight"), size, *moment).groupBy(*moment).agg(F.sum("weight").alias("_n"))
     before = running(
         per_time,
         ["file"],
@@ -69,8 +72,9 @@ def prior_activity(touched: DataFrame, asked: DataFrame | None = None) -> DataFr
         sums={"prior_count": F.col("_n")},
         maxima={"last_time": F.when(F.col("_n") > 0, time)},
         inclusive=False,
+        size=size,
     ).drop("_n")
-    rows = (touched if asked is None else asked).join(before, ["file", "report_time"], "left")
+    rows = dealt(rows, size, *moment).join(dealt(before, size, *moment), moment, "left")
     return rows.withColumn("prior_count", F.coalesce("prior_count", F.lit(0)))
 
 

@@ -1,9 +1,11 @@
 """One group holds a third of the rows: results stay whole and work is spread."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from faultsift.operators import ranking, running, scoring, skew, terms
+from faultsift.operators import history, ranking, running, scoring, skew, terms
 
 
 @pytest.fixture()
@@ -64,3 +66,17 @@ def test_similarity_with_a_hot_file(spark, eager_salting):
     assert len(got) == 40
     for (r, f), value in got.items():
         assert (value == 1.0) == (r % 4 == f % 4)
+
+
+def test_rows_of_a_task_are_bounded(spark, monkeypatch, tmp_path):
+    """More touches mean more tasks, whatever the number of shuffle partitions."""
+    monkeypatch.setattr(skew, "TASK_ROWS", 100)
+    at = F.timestamp_seconds(F.lit(10_000_000) * (F.col("id") % 7))
+    touched = spark.range(3_000).select(F.col("id").alias("report_id"), (F.col("id") % 50).alias("file"), at.alias("report_time"))
+    found = history.recency_and_frequency(touched, touched.withColumn("file", F.col("file") + 1))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(file") >= 3 and ", 60)" in plan and not re.search(r"hashpartitioning\((file|_place)[^)]*, 4\)", plan)
+    got = {(r.report_id, r.file): r.bug_frequency for r in found.collect()}
+    rows = [(r.report_id, r.file, r.report_time) for r in touched.collect()]
+    before = lambda file, time: sum(f == file and t < time for _, f, t in rows)
+    assert len(got) == 3_000 and all(got[i, f + 1] == before(f + 1, t) for i, f, t in rows[::37])
