@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from faultsift.catalog import data
 from faultsift.catalog import graphs as graph_queries
 from faultsift.llm import probminhash
-from faultsift.operators import graphs, tables
+from faultsift.operators import graphs, sampling, tables
 from faultsift.sources import writers
 
 
@@ -87,3 +87,18 @@ def test_counts_of_shingles_travel_by_range(spark, monkeypatch):
     held = probminhash._holders(sets)
     assert seen == [12]  # two ranges a task
     assert held[:1000].tolist() == [24] * 1000 and held[-24:].tolist() == [1] * 24 and int(np.sum(held)) == 24 * 1001
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_draws_are_not_shuffled(spark, monkeypatch, block):
+    """Positives meet the blocks of their walk; no row per draw is joined."""
+    monkeypatch.setattr(sampling, "DRAW_BLOCK", block)
+    files = spark.range(40).select(F.col("id").alias("file"))
+    positives = spark.range(90).select((F.col("id") % 11).alias("report_id"), (F.col("id") * 7 % 43).alias("file")).distinct()
+    found = sampling.sampled_wrong_files(positives, files, 2)
+    assert "Join [place" not in plan(found)
+    placed = sampling.circle(files)
+    named = sampling.drawn_places(positives, placed, 2).select("report_id", "file", F.posexplode("places").alias("_at", "place"))
+    want = named.join(placed.withColumnRenamed("file", "candidate"), "place").withColumn("draw", F.col("_at") + 1)
+    columns = ("report_id", "file", "candidate", "draw")
+    assert rows(found, *columns) == rows(want, *columns) and found.count() > 0
