@@ -44,6 +44,38 @@ def test_sums_equal_joined_rows(spark, monkeypatch, block, products, hot_rows):
     assert sorted((str(a), str(b), x, round(c, 9)) for a, b, x, c in got) == sorted(want)
 
 
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_listed_sums_equal_cells(spark, monkeypatch, batch):
+    left, right, pairs = tables(spark, batch)
+    lt, rt = spark.createDataFrame(left, TF).withColumnRenamed("k", "l"), spark.createDataFrame(right, TF).withColumnRenamed("k", "r")
+    other = rt.where("r % 3 = 0").withColumn("tf", F.col("tf") + 1)
+    pt = spark.createDataFrame(pairs, "l long, r int, x int")
+    columns = ["l", "r", "x", "one", "two"]
+    found = lambda: sorted(map(str, terms.pair_cosines(pt, lt, {"one": rt, "two": other}, ["l"], ["r"]).select(*columns).collect()))
+    want, taken, plain = found(), [], cells._listed_sums
+    monkeypatch.setattr(cells, "_listed_sums", lambda *a: taken.append(a) or plain(*a))
+    monkeypatch.setattr(cells, "FEW_COPIES", 0)
+    monkeypatch.setattr(cells, "DEALS", 10_000)  # many copies of left terms
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        assert found() == want and len(taken) == 1
+        monkeypatch.setattr(cells, "SHORT", 3)
+        monkeypatch.setattr(cells, "DEALS", 4)
+        assert found() == want and len(taken) == 1  # long documents go to cells
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_left_terms_are_not_copied_for_few_pairs(spark, monkeypatch):
+    monkeypatch.setattr(cells, "FEW_COPIES", 1_000)
+    words = F.array(*[F.concat(F.lit("w"), F.pmod(F.col("id") * n, F.lit(9)).cast("string")) for n in (1, 2, 3)])
+    tf = spark.range(500).select(F.col("id").alias("l"), F.explode(F.array_distinct(words)).alias("term"), F.lit(1).alias("tf"))
+    pairs = spark.range(500).select(F.col("id").alias("l"), F.col("id").alias("r"))
+    met = terms.pair_cosine(pairs, tf, tf.withColumnRenamed("l", "r"), ["l"], ["r"])
+    assert "sequence" not in met._jdf.queryExecution().optimizedPlan().toString()
+    assert met.where("round(similarity, 9) = 1").count() == 500
+
+
 def test_no_row_per_pair_and_term(spark):
     tf = spark.range(9).select(F.col("id").alias("l"), F.lit("t").alias("term"), F.lit(1).alias("tf"))
     pairs = spark.range(9).select(F.col("id").alias("l"), F.col("id").alias("r"))
