@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultsift.functions import text
 from faultsift.functions.stemming import with_stems
 from faultsift.operators import interactions, sampling, tables
+from faultsift.operators.skew import unsent
 from faultsift.session import stage
 from faultsift.sources import writers
 
@@ -95,14 +96,30 @@ def small_training_set(
     reports: DataFrame, features: DataFrame, contents: DataFrame, order: list[Column], bucket: Column,
     test_share: float = 0.4, negatives: int = 10,
 ) -> DataFrame:
-    """Training rows of an ordered split: all matches and the first ten non-matches per bug."""
-    full = tables.with_reports(tables.with_content(features, contents), reports).withColumn(
-        "report", text.report_text(F.col("summary"), F.col("description"), null_safe=False)
-    )
+    """Training rows of an ordered split: all matches and the first ten non-matches per bug.
+
+    Rows are joined, split and ranked without texts; texts are joined to what is picked.
+    """
+    told = reports.withColumn("report", text.report_text(F.col("summary"), F.col("description"), null_safe=False))
+    by_report = ["id", "project_name"] if "project_name" in reports.columns and "project_name" in features.columns else ["id"]
+    told = stage(_numbered_copies(told.drop("summary", "description"), by_report, "_report"), "reports")
+    files = _numbered_copies(contents, ["project_name", "cid"], "_content")
+    full = stage(tables.with_reports(tables.with_content(features, files.drop("file_content")), told.drop("report")), "candidates")
     sides = sampling.ordered_split(full.where(F.col("match") == 1), order, bucket, test_share)
     train = tables.keep(full, sides.where(F.col("split") == "train"), ["bug_id"])
     picked = sampling.positives_and_negatives(train, "bug_id", order, negatives)
-    return picked.select(F.col("report_id").alias("id"), "cid", "report", "file_content", "match")
+    keys = [*["report_id" if c == "id" else c for c in by_report], "_report"]
+    of_report = told.withColumnRenamed("id", "report_id").select(*keys, "report")
+    rows = picked.select("report_id", "project_name", "cid", "match", "_report", "_content").join(unsent(of_report), keys)
+    whole = tables.with_content(rows, files.select("project_name", "cid", "_content", "file_content"), ["project_name", "cid", "_content"])
+    return whole.select(F.col("report_id").alias("id"), "cid", "report", "file_content", "match")
+
+
+def _numbered_copies(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Add a number that tells rows of equal keys apart; equal rows may change places."""
+    rest = [c for c in rows.columns if c not in keys]
+    marked = rows.withColumn("_mark", F.xxhash64(*rest))
+    return marked.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy("_mark"))).drop("_mark")
 
 
 def prepared_corpus(
